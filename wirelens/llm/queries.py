@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wirelens.llm import exact, mixing, packing, simhash, tiff
+from wirelens.llm import exact, html, mixing, packing, secrets, simhash, tiff, toxicity
 from wirelens.llm.common import table
 
 
@@ -20,19 +19,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.texts_read_back(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op4_exact_dedup, op6_mixing, op10_tiff)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_toxicity, op4_exact_dedup, op5_secrets, op6_mixing, op9_html, op10_tiff)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
