@@ -65,7 +65,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         raise ValueError("needs 0 < share <= cap <= 2")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("th"))
-    rows = save(rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "source", "th")).drop("th"))
+    rows = save(rows.withColumn("h", _place(F.col("id"), F.col("source"), F.col("th"), seed)).drop("th"))
     per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
     per = save(per)
     plan = targets(per.select("source", "size"), share, cap, weights).join(per.select(F.col("source").alias("_s"), "docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -120,10 +120,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     full = inside.where("size > 0").join(part, ["sid", "a"], "left")
     none = inside.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")})
     return full.unionByName(none.select(full.columns)).select(
-        F.col("id").alias(id_col), F.col("size"), "source_size", F.col("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot"
+        F.col("id").alias(id_col), F.col("size"), "source_size", F.col("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.col("h").alias("place")
     )
 
 
+def _place(id_: Column, source: Column, text_hash: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), id_, source, text_hash)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **how) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, all columns: each as often as the words taken make whole copies of it, rounded.
+
+    Rows without words stay once. Rows alike in id, source and text share
+    what the mix takes of them evenly.
+    """
+    share = mix(docs, id_col, text_col, source_col, seed=seed, **how).groupBy("place").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = share.select(F.col("place").alias("_place"), F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = docs.withColumn("_place", _place(F.col(id_col), F.col(source_col).cast("string"), F.xxhash64(text), seed))
+    often = named.join(copies.where("_copies > 0"), "_place").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return often.select(docs.columns)
+
+
 def _points(spark, slots: int, point: Column) -> DataFrame:
     return spark.range(slots).select(F.col("id").alias("slot"), point.alias("x"))
 

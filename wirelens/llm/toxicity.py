@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -10,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$
 SENTENCE = re.compile(r"[.!?\n]+\s")
 #: Bounds of the labelled sample that the machine is fitted on, and of its fitting.
 TOXIC_ROWS, CLEAN_ROWS, MOST_CHARS = 3000, 5000, 10_000
-LANDMARKS, ROUNDS, NEGATIVES = 512, 4, 12_000
+LANDMARKS, ROUNDS, NEGATIVES = 448, 4, 10_000
 #: A string is a witness by its counts alone from this log likelihood ratio, and this many times as frequent in toxic texts.
 SURE, RATIO = 10.0, 20
 MOST_HELD = 300_000
@@ -96,9 +99,13 @@ class Machine:
     bias: float
     logistic: np.ndarray | None = None
 
-    def margins(self, found: list[str]) -> np.ndarray:
-        row, code, value = triples(found)
-        return np.bincount(row, self.weights[code] * value, len(found)) + self.bias
+    def margins(self, found: list[str], step: int = 20_000) -> np.ndarray:
+        out = [np.full(0, self.bias)]
+        for a in range(0, len(found), step):
+            part = found[a : a + step]
+            row, code, value = triples(part)
+            out.append(np.bincount(row, self.weights[code] * value, len(part)) + self.bias)
+        return np.concatenate(out)
 
     def probability(self, margins: np.ndarray) -> float:
         """Of a text with these margins of its strings; of the bias alone if it has none."""
@@ -113,14 +120,17 @@ class Machine:
         return np.array([*top, np.log1p(len(margins)), 1.0])
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 15) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 15, block: int = 2048) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss, by Newton's method."""
-    x = np.c_[x, np.ones(len(x), x.dtype)].astype(np.float64)
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(steps):
-        near = y * (x @ w) < 1
-        a, c = x[near], cost[near]
-        new = np.linalg.solve((a.T * c) @ a + np.eye(len(w)), a.T @ (c * y[near]))
+        left, right = np.eye(len(w)), np.zeros(len(w))
+        for s in range(0, len(x), block):
+            a = np.c_[x[s : s + block], np.ones(len(x[s : s + block]))].astype(np.float64)
+            c = cost[s : s + block] * (y[s : s + block] * (a @ w) < 1)
+            left += (a.T * c) @ a
+            right += a.T @ (c * y[s : s + block])
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -171,7 +181,7 @@ def _machine(positive: list[str], negative: list[str], cost: np.ndarray, landmar
     e, v = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     root = (v / np.sqrt(np.maximum(e, 1e-3))) @ v.T
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    w = svm(_kernel(positive + negative, phi, codes) @ root, y, cost)
+    w = svm(_kernel(positive + negative, phi, codes) @ root.astype(np.float32), y, cost)
     weights = np.zeros(SYMBOLS**3, np.float32)
     weights[codes] = (root @ w[:-1]) @ phi
     return Machine(weights, float(w[-1]))
@@ -186,22 +196,21 @@ def fit(sample: Iterable[tuple[str | None, int]]) -> Machine:
     that the machine likes most are added as counter-examples, round by round.
     With one label only, the result is that label's share.
     """
-    rows = [(text, int(label)) for text, label in sample]
-    # Every third row is kept from the machine, for the logistic function.
-    sample = [row for i, row in enumerate(rows) if i % 3]
-    bags = [(strings(text or ""), label) for text, label in rows[::3]]
-    n = Counter(label for _, label in sample)
-    if not n[0] or not n[1]:
-        p = sum(label for _, label in rows) / max(1, len(rows))
-        return _constant(p)
+    # Every third row, in a repeatable order, is kept from the machine, for the logistic function.
+    rows = sorted(((text or "", int(label)) for text, label in sample), key=lambda r: (r[1], zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r[0]))
+    sample, bags = [r for i, r in enumerate(rows) if i % 3], rows[::3]
+    share = sum(label for _, label in rows) / max(1, len(rows))
+    if len({label for _, label in sample}) < 2:
+        return _constant(share)
     # Sentences count once, however many copies of a text there are; one that clean texts have is clean.
-    said: dict[int, dict[str, frozenset[str]]] = {0: {}, 1: {}}
-    for text, label in sample:
-        for sentence in SENTENCE.split(text or ""):
-            said[label].setdefault(sentence.lower(), frozenset(map(_key, strings(sentence))))
-    toxic = [found for sentence, found in said[1].items() if sentence not in said[0]]
-    df = {0: Counter(u for found in said[0].values() for u in found), 1: Counter(u for found in toxic for u in found)}
-    n = {0: max(1, len(said[0])), 1: max(1, len(toxic))}
+    df, n, said = {0: Counter(), 1: Counter()}, {0: 0, 1: 0}, set()
+    for text, label in sample:  # clean texts first
+        for sentence in SENTENCE.split(text.lower()):
+            if (name := xxhash.xxh64_intdigest(sentence.encode("utf-8", "surrogatepass"))) not in said:
+                said.add(name)
+                n[label] += 1
+                df[label].update(set(map(_key, strings(sentence))))
+    n[1] = max(1, n[1])
     clean = sorted(df[0], key=lambda u: (-df[0][u], u))
     telling = {u for u, c in df[1].items() if c * n[0] >= RATIO * df[0][u] * n[1] and _tells(c, df[0][u], n[1], n[0]) >= SURE}
     hard = sorted({*clean[: NEGATIVES // 2], *clean[:: max(1, len(clean) // (NEGATIVES // 2))]} - telling)
@@ -213,17 +222,20 @@ def fit(sample: Iterable[tuple[str | None, int]]) -> Machine:
             break
         cost = np.r_[[10 * (1 + np.log(count[u])) for u in positive], [1 + np.log(df[0][u]) for u in hard]]
         marks = _landmarks(positive, LANDMARKS // 2)
-        marks += _landmarks(sorted(hard, key=lambda u, near=frozenset(likes[:500]): (u not in near, -df[0][u], u)), LANDMARKS - len(marks))
+        others = sorted(hard, key=lambda u, near=frozenset(likes[:500]): (u not in near, -df[0][u], u))[: 8 * LANDMARKS]
+        marks += _landmarks(others, LANDMARKS - len(marks))
         machine = _machine(positive, hard, cost, marks)
         likes = [clean[i] for i in np.argsort(-machine.margins(clean), kind="stable")[: NEGATIVES // 4]]
         hard = sorted({*hard, *likes} - telling)
     if machine is None:  # no string tells the labels apart
-        p = sum(label for _, label in rows) / len(rows)
-        return _constant(p)
-    strings_of = sorted({u for found, _ in bags for u in found})
-    held = dict(zip(strings_of, machine.margins(strings_of).tolist(), strict=True))
-    x = np.array([machine.features(np.array([held[u] for u in found])) for found, _ in bags])
-    machine.logistic = logistic(x, np.array([label for _, label in bags]))
+        return _constant(share)
+    x = []
+    for text, _ in bags:
+        found = strings(text)
+        unlike = list(set(found))
+        held = dict(zip(unlike, machine.margins(unlike).tolist(), strict=True))
+        x.append(machine.features(np.array([held[u] for u in found])))
+    machine.logistic = logistic(np.array(x), np.array([label for _, label in bags]))
     return machine
 
 
@@ -243,7 +255,7 @@ def _tells(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
 
 
 def _key(u: str) -> str:
-    return u.lower().strip(".,;:!?|()[]{}\"'")
+    return u.strip(".,;:!?|()[]{}\"'")
 
 
 def logistic(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -270,6 +282,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int
     return rows.where("_label = 1").orderBy(*order).limit(toxic_rows).union(rows.where("_label = 0").orderBy(*order).limit(clean_rows)).select("_text", "_label")
 
 
+def fitted(sample: DataFrame) -> Machine:
+    """Fit on an executor; the sample is bounded, so one task holds it. The driver gets the weights, which have a fixed size."""
+    schema = pa.schema([("machine", pa.binary())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = fit(row for part in parts for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+        yield from batches([(pickle.dumps(machine),)], schema)
+
+    return pickle.loads(sample.coalesce(1).mapInArrow(run, "machine binary").first()[0])
+
+
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score, predicted, and the string that told most (``reason``) of every row; only the text counts.
 
@@ -300,8 +323,7 @@ def judged(parts: Iterator[pa.RecordBatch], machine: Machine, column: int | str)
             new = [u for u in {u for t in texts for u in t} if u not in held]
             if len(held) + len(new) > MOST_HELD:
                 held, new = {}, list({u for t in texts for u in t})
-            for b in range(0, len(new), 20_000):
-                held |= zip(new[b : b + 20_000], machine.margins(new[b : b + 20_000]).tolist(), strict=True)
+            held |= zip(new, machine.margins(new).tolist(), strict=True)
             out = []
             for found in texts:
                 margins = np.fromiter(map(held.__getitem__, found), np.float64, len(found))
@@ -311,15 +333,13 @@ def judged(parts: Iterator[pa.RecordBatch], machine: Machine, column: int | str)
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, held_out, score, predicted, reason; fitted on ``labels`` outside the held-out remainder."""
-    sample = [(r[0], r[1]) for r in labelled_sample(docs, labels, held_out, id_col, text_col).collect()]
-    found = score(docs, fit(sample), threshold, id_col, text_col)
+    found = score(docs, fitted(labelled_sample(docs, labels, held_out, id_col, text_col)), threshold, id_col, text_col)
     return found.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), (remainder_col(F.col("doc_id"), held_out[0]) == held_out[1]).alias("held_out"), "score", "predicted", "reason")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is not predicted toxic, all columns; the verdict travels with its row, so repeated ids are no trouble."""
-    sample = [(r[0], r[1]) for r in labelled_sample(docs, labels, id_col=id_col, text_col=text_col).collect()]
-    machine = fit(sample)
+    machine = fitted(labelled_sample(docs, labels, id_col=id_col, text_col=text_col))
 
     def clean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in judged(parts, machine, text_col):
