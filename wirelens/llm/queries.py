@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirelens.llm import exact, html, lines, mixing, packing, secrets, simhash, tiff, toxicity
+from wirelens.llm import exact, html, lines, lm, mixing, packing, secrets, simhash, tiff, toxicity
 from wirelens.llm.common import table
 
 
@@ -35,6 +35,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,7 +53,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.texts_read_back(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_toxicity, op4_exact_dedup, op5_secrets, op6_mixing, op8_lines, op9_html, op10_tiff)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_toxicity, op4_exact_dedup, op5_secrets, op6_mixing, op7_lm, op8_lines, op9_html, op10_tiff)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
