@@ -1,0 +1,39 @@
+from tests.llm.fixtures import documents, empty
+from wirelens.llm import lines
+
+LONG = " ".join(f"w{k}" for k in range(55))
+
+
+def run(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.line_dedup(df).collect()}
+
+
+def test_later_runs_go_and_first_stay(spark):
+    got = run(spark, [(1, f"x\n{LONG}\ny"), (2, f"p\n\n{LONG.replace(' ', '  ')}\nq"), (3, "a\nb\nc\nd"), (4, "z\na\nb\nc\ne"), (5, "a\nq2"), (6, None), (7, "")])
+    assert got[1] == (f"x\n{LONG}\ny", 3, 0)
+    assert got[2] == ("p\n\nq", 4, 1)
+    assert got[3] == ("a\nb\nc\nd", 4, 0)
+    assert got[4] == ("z\ne", 5, 3)  # a run of three lines holds a common fingerprint, wherever it stands
+    assert got[5] == ("a\nq2", 2, 0)  # a lone short line stays
+    assert got[6] == ("", 1, 0) and got[7] == ("", 1, 0)
+
+
+def test_runs_within_a_document_and_ties(spark):
+    got = run(spark, [(1, "\n".join(["k", "l", "m"] * 3)), (2, "\n".join(["s"] * 6)), (2, "\n".join(["s"] * 6))])
+    assert got[1][0] == "k\nl\nm"
+    assert got[2][0].startswith("s") and got[2][2] >= 3
+
+
+def test_every_line_keeps_a_place(spark):
+    df = documents(spark)
+    out = lines.line_dedup(df)
+    assert out.count() == df.count()
+    plain = lambda rows: {" ".join(x.split(" ")) for r in rows for x in (r.text or "").split("\n")}
+    assert plain(out.collect()) == plain(df.collect())
+    # Of copied documents only the first keeps its lines, if they make a run.
+    assert out.agg({"n_removed": "sum"}).first()[0] > 10
+
+
+def test_empty_table(spark):
+    assert lines.line_dedup(empty(spark)).count() == 0
