@@ -26,7 +26,7 @@ _PLAIN = re.compile("[^\n -~¡-ɏ]")
 
 
 @cache
-def _encoders(json_path: str, ranks_path: str | None):
+def encoders(json_path: str, ranks_path: str | None):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(json_path)
@@ -43,7 +43,7 @@ def _encoders(json_path: str, ranks_path: str | None):
 
 def encode(text: str | None, json_path: str, ranks_path: str | None = None) -> np.ndarray:
     """Token ids of a text as little-endian unsigned 32-bit numbers; ``ranks_path`` holds the same vocabulary for the faster library."""
-    slow, fast = _encoders(json_path, ranks_path)
+    slow, fast = encoders(json_path, ranks_path)
     text = text or ""
     if fast is not None and not _PLAIN.search(text):
         return np.array(fast.encode_ordinary(text), "<u4")
