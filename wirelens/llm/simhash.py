@@ -14,7 +14,7 @@ from wirelens.llm.common import attach, batches, components, save, words
 
 RADIUS = 4
 #: Tiles hold a 64th of the fingerprints each, within these bounds; so the pairs of tiles, and the copies sent of each, stay as many.
-TILES, LEAST, MOST = 64, 512, 1 << 21
+TILES, LEAST, MOST = 64, 512, 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = 5) -> int:
