@@ -31,28 +31,26 @@ IDENTIFIERS = (
     "localhost http https www example com org net html json xml utf-8 base64 encode decode encrypt decrypt hash salt random uuid timestamp version "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 xxxxxxxxxxxxxxxx"
 )
-#: Characters of context on either side; how far before a candidate a sensitive word may stand; the share of its bytes that stays after compression.
-AROUND, BEFORE, NOVEL = 256, 48, 0.6
+#: Characters of context on either side; how far before a candidate a sensitive word may stand; the compressed bytes that each of its bytes adds at least.
+#: Random strings add over 1 a byte, as they fit neither the matches nor the letter counts of what is around; compounds of known identifiers 0.3 to 0.9.
+AROUND, BEFORE, NOVEL = 256, 48, 1.0
 
 
 @cache
-def _plain() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
+def _packer() -> zstandard.ZstdCompressor:
+    primer = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=9, dict_data=primer, write_checksum=False, write_content_size=False)
 
 
-def novelty(candidate: str, around: str) -> float:
+def novelty(candidate: str, before: str, after: str = "") -> float:
     """Marginal compressed bytes of a candidate, given its surroundings and the identifiers, as a share of its bytes.
 
-    The candidate is compressed behind a dictionary of identifiers and its
-    surroundings. What the empty string takes, and what literals stored as
-    they are take on top, is set off; strings of few different characters,
-    which the entropy stage still shortens, keep their rate by repetition.
+    The surroundings are compressed behind the dictionary of identifiers, with
+    the candidate in its place and without it; the difference is what it adds.
     """
-    data = candidate.encode("utf-8", "surrogatepass")
-    primer = zstandard.ZstdCompressionDict(f"{IDENTIFIERS}\n{around}".encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=9, dict_data=primer, write_checksum=False, write_content_size=False)
-    least = len(_plain().compress(b""))
-    return max(0, len(packer.compress(data)) - least) / max(1, len(data))
+    own, left, right = (x.encode("utf-8", "surrogatepass") for x in (candidate, before, after))
+    size = lambda data: len(_packer().compress(data))
+    return max(0, size(left + own + right) - size(left + right)) / max(1, len(own))
 
 
 def _mixed(s: str) -> bool:
@@ -71,7 +69,7 @@ def spans(text: str | None) -> list[tuple[int, str, int, float]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     found.sort()
-    out = [(a, k, b, novelty(text[a:b], text[max(0, a - AROUND) : a] + text[b : b + AROUND])) for a, k, b in found]
+    out = [(a, k, b, novelty(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND])) for a, k, b in found]
     if any(h in low for h in SENSITIVE_HINTS):
         ends = [(a, b) for a, _, b in found]
         last = 0
@@ -84,7 +82,7 @@ def spans(text: str | None) -> list[tuple[int, str, int, float]]:
                 at = last = c.end()
                 a, b = c.span()
                 if _mixed(c[0]) and not any(x < b and a < y for x, y in ends):
-                    rate = novelty(c[0], text[max(0, a - AROUND) : a] + text[b : b + AROUND])
+                    rate = novelty(c[0], text[max(0, a - AROUND) : a], text[b : b + AROUND])
                     if rate >= NOVEL:
                         out.append((a, 3, b, rate))
     return [(a, KINDS[k], b, rate) for a, k, b, rate in sorted(out)]

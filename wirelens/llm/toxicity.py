@@ -290,7 +290,8 @@ def fitted(sample: DataFrame) -> Machine:
         machine = fit(row for part in parts for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
         yield from batches([(pickle.dumps(machine),)], schema)
 
-    return pickle.loads(sample.coalesce(1).mapInArrow(run, "machine binary").first()[0])
+    made = sample.coalesce(1).mapInArrow(run, "machine binary").first()  # none if no task ran, as for an empty table
+    return pickle.loads(made[0]) if made else fit(())
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
