@@ -1,3 +1,5 @@
+import random
+
 from tests.llm.fixtures import documents, empty
 from wirelens.llm import lines
 
@@ -37,3 +39,20 @@ def test_every_line_keeps_a_place(spark):
 
 def test_empty_table(spark):
     assert lines.line_dedup(empty(spark)).count() == 0
+
+
+def test_runs_of_two_lines_equal_brute_force(spark):
+    rng = random.Random(5)
+    pool = [" ".join(f"{x}{k}" for k in range(rng.choice([1, 20, 30, 60]))) for x in range(40)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(150)]
+    seen, want = set(), {}
+    for i, text in rows:
+        at = text.split("\n")
+        gone = set()
+        for n, line in enumerate(at):
+            for part in ((line,),) * (len(line.split()) >= 50) + (tuple(at[n : n + 2]),) * (n + 1 < len(at)):
+                if part in seen:
+                    gone |= set(range(n, n + len(part)))
+                seen.add(part)
+        want[i] = ("\n".join(line for n, line in enumerate(at) if n not in gone), len(at), len(gone))
+    assert run(spark, rows) == want

@@ -1,4 +1,4 @@
-"""Line dedup: runs of lines that repeat, found by winnowing over line hashes."""
+"""Line dedup: runs of lines that repeat, found by the hashes of neighbouring lines."""
 
 from __future__ import annotations
 
@@ -31,30 +31,21 @@ def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def fingerprints(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Places that are compared: kind, g, id, key, th, n, and the lines around.
+    """Places that are compared: kind, g, id, key, th, n, and the lines there.
 
-    Pairs of neighbouring lines are hashed, and of every two neighbouring
-    pairs the one with the smaller hash is a fingerprint (kind 2), so a
-    repeated run of three lines holds a common one for certain. A line of
-    ``least_words`` words is a fingerprint by itself (kind 1).
+    Every pair of neighbouring lines is a fingerprint (kind 2), so that a
+    repeated run of two lines holds a common one, wherever it stands. A line
+    of ``least_words`` words is a fingerprint by itself (kind 1).
     """
     doc = W.partitionBy("key", "th").orderBy("line")
     # Rows alike in id and text are one document.
     once = lines.withColumn("_p", F.lag("line").over(doc)).where("_p is null or _p <> line").drop("_p")
     near = once.withColumn("n", F.row_number().over(doc)).withColumn("at", F.struct("line", "words"))
-    for name, k in (("b1", -1), ("a1", 1), ("a2", 2)):
-        near = near.withColumns({f"h_{name}": F.lead("h", k).over(doc), f"at_{name}": F.lead("at", k).over(doc)})
-    near = near.withColumn("pair", F.when(F.col("h_a1").isNotNull(), F.xxhash64("h", "h_a1")))
-    near = near.withColumns({"before": F.lag("pair").over(doc), "after": F.lead("pair").over(doc)})
-    chosen = F.col("pair").isNotNull() & (F.coalesce(F.col("pair") <= F.col("before"), F.lit(False)) | F.coalesce(F.col("pair") <= F.col("after"), F.lit(False)) | F.coalesce("before", "after").isNull())
-    kinds = F.array_compact(F.array(F.when(chosen, F.struct(F.lit(2).alias("kind"), F.col("pair").alias("g"))), F.when(F.col("words") >= least_words, F.struct(F.lit(1).alias("kind"), F.col("h").alias("g")))))
+    near = near.withColumns({"h_next": F.lead("h").over(doc), "at_next": F.lead("at").over(doc)})
+    pair = F.when(F.col("h_next").isNotNull(), F.struct(F.lit(2).alias("kind"), F.xxhash64("h", "h_next").alias("g")))
+    kinds = F.array_compact(F.array(pair, F.when(F.col("words") >= least_words, F.struct(F.lit(1).alias("kind"), F.col("h").alias("g")))))
     found = near.withColumn("k", F.explode(kinds))
-    last = F.when(F.col("k.kind") == 2, F.col("h_a2")).otherwise(F.col("h_a1"))
-    at_last = F.when(F.col("k.kind") == 2, F.col("at_a2")).otherwise(F.col("at_a1"))
-    return found.select(
-        "k.kind", "k.g", "id", "key", "th", "n", F.col("h_b1").alias("left"), last.alias("right"),
-        F.col("at_b1").alias("at_left"), "at", F.when(F.col("k.kind") == 2, F.col("at_a1")).alias("at_next"), at_last.alias("at_right"),
-    )
+    return found.select("k.kind", "k.g", "id", "key", "th", "n", "at", F.when(F.col("k.kind") == 2, F.col("at_next")).alias("at_next"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -62,24 +53,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A fingerprint's first place, in order of id, text hash and line, is its
     origin. Each later place is joined to the origin alone, so a line that
-    many documents share gives a row a place and no pairs. The match is
-    extended both ways while the lines around are alike; as one of any two
-    neighbouring pairs is a fingerprint, a line to each side closes the gaps.
-    Matched lines that follow one another form a run, which repeats if it has
+    many documents share gives a row a place and no pairs. A longer match
+    needs no extending, as each of its pairs matches by itself. Matched lines
+    that follow one another form a run, which repeats if it has
     ``least_lines`` lines or ``least_words`` words. The first place of any
     line always stays.
     """
     found = save(fingerprints(text_lines(docs, id_col, text_col), least_words))
     place = F.struct("id", "th", "n")
-    origin = found.groupBy("kind", "g").agg(F.min(F.struct(place.alias("place"), F.col("left").alias("o_left"), F.col("right").alias("o_right"))).alias("o"), F.count("*").alias("size"))
-    origin = save(origin.where("size > 1").select("kind", "g", "o.place", "o.o_left", "o.o_right", "size"))
+    origin = found.groupBy("kind", "g").agg(F.min(place).alias("place"), F.count("*").alias("size"))
+    origin = save(origin.where("size > 1"))
     # Only later places: the origin itself matches nothing.
     matched = attach(found, origin, ["kind", "g"], found.count(), "size").where(F.col("place").isNotNull() & (place != F.col("place")))
     step = lambda at, k: F.when(at.isNotNull(), F.struct((F.col("n") + k).alias("n"), at["line"].alias("line"), at["words"].alias("words")))
-    wide = F.when(F.col("kind") == 2, 2).otherwise(1)
-    covered = F.array_compact(F.array(
-        F.when(F.col("left") == F.col("o_left"), step(F.col("at_left"), F.lit(-1))), step(F.col("at"), F.lit(0)), step(F.col("at_next"), F.lit(1)), F.when(F.col("right") == F.col("o_right"), step(F.col("at_right"), wide))
-    ))
+    covered = F.array_compact(F.array(step(F.col("at"), F.lit(0)), step(F.col("at_next"), F.lit(1))))
     rows = matched.select("key", "th", F.explode(covered).alias("c")).groupBy("key", "th", "c.n").agg(F.max("c.line").alias("line"), F.max("c.words").alias("words"))
     runs = rows.withColumn("run", F.col("n") - F.row_number().over(W.partitionBy("key", "th").orderBy("n")))
     run = W.partitionBy("key", "th", "run")
