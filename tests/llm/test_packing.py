@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tests.llm.fixtures import documents, empty, texts
 from wirelens.llm import packing
@@ -42,6 +43,20 @@ def test_both_tokenizers_agree(text):
     assert packing.encode(text, JSON, RANKS).tolist() == packing.encode(text, JSON, None).tolist()
 
 
+def test_ids_are_those_of_the_stated_call():
+    """Also where a text holds a special token's name: ids, as the tokenizer's file alone gives them."""
+    bare = Tokenizer.from_file(JSON)
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "plain words", "é 漢 <|endoftext|>x<|endoftext|>", "a <|endof text|>", ""]:
+        assert packing.encode(text, JSON, RANKS).tolist() == packing.encode(text, JSON).tolist() == bare.encode(text, add_special_tokens=False).ids
+    assert 50256 in packing.encode("a <|endoftext|> b", JSON, RANKS) and 50256 not in packing.encode("a <|endoftext|> b", JSON, RANKS, special=False)
+
+
+def test_sequences_on_real_lengths(spark):
+    pieces = packing.token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), JSON, RANKS)
+    tokens, sequences = packing.pack(pieces).selectExpr("sum(length)", "count(DISTINCT sequence_id)").first()
+    assert sequences <= -(-tokens // 2048) + 2
+
+
 @pytest.mark.parametrize(("n", "expected"), [(1, [(0, 1)]), (10, [(0, 10)]), (11, [(0, 1), (1, 10)]), (20, [(0, 10), (10, 10)]), (25, [(0, 5), (5, 10), (15, 10)])])
 def test_cut(n, expected):
     assert packing.cut(n, 10) == expected

@@ -27,27 +27,36 @@ _PLAIN = re.compile("[^\n -~¡-ɏ]")
 
 @cache
 def encoders(json_path: str, ranks_path: str | None):
+    """The tokenizer as its file has it; one that takes special tokens' names for ordinary text; a faster one that does so too; a pattern of the names."""
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
-    slow.encode_special_tokens = True  # a special token's name inside a text is ordinary text
+    stated, ordinary = Tokenizer.from_file(json_path), Tokenizer.from_file(json_path)
+    ordinary.encode_special_tokens = True
+    names = [re.escape(t.content) for t in stated.get_added_tokens_decoder().values()]
+    special = re.compile("|".join(names) or r"(?!)")
     if ranks_path is None:
-        return slow, None
+        return stated, ordinary, None, special
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return slow, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return stated, ordinary, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
-def encode(text: str | None, json_path: str, ranks_path: str | None = None) -> np.ndarray:
-    """Token ids of a text as little-endian unsigned 32-bit numbers; ``ranks_path`` holds the same vocabulary for the faster library."""
-    slow, fast = encoders(json_path, ranks_path)
+def encode(text: str | None, json_path: str, ranks_path: str | None = None, special: bool = True) -> np.ndarray:
+    """Token ids of a text as little-endian unsigned 32-bit numbers, none added; ``ranks_path`` holds the same vocabulary for the faster library.
+
+    With ``special``, a special token's name in the text is that token, as the
+    tokenizer's own call has it; without it, the name is ordinary text.
+    """
+    stated, ordinary, fast, names = encoders(json_path, ranks_path)
     text = text or ""
+    if special and names.search(text):
+        return np.array(stated.encode(text, add_special_tokens=False).ids, "<u4")
     if fast is not None and not _PLAIN.search(text):
         return np.array(fast.encode_ordinary(text), "<u4")
-    return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+    return np.array(ordinary.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
