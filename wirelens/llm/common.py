@@ -6,7 +6,9 @@ import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,25 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of words of every text, and all words in order, A-Z lower-cased; null texts have none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    found, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    full = pc.not_equal(found, "")  # white space at a text's ends leaves empty words
+    of = np.repeat(np.arange(len(texts)), sizes)[full.to_numpy(zero_copy_only=False)]
+    return np.bincount(of, minlength=len(texts)), found.filter(full)
+
+
+def by_bytes(part: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes of a text column, a row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    a = 0
+    while a < part.num_rows:
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most)))
+        yield part.slice(a, z - a)
+        a = z
+
+
 def remainder(doc_id: int | None, n: int) -> int:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
