@@ -27,10 +27,19 @@ def documents(spark, seed: int = 0, n: int = 120, repeat: bool = True, extra: bo
         rows += rows[40:43]  # rows repeated whole
     df = spark.createDataFrame(rows, DOCS).repartition(3)
     if extra:
-        for name in ("n", "id", "h", "fp", "size", "kept", "slot", "row", "key", "line", "bucket", "page"):
+        for name in ("n", "id", "h", "fp", "size", "kept", "slot", "row", "key", "line", "bucket", "page", "_t", "_id", "_place", "_copies", "_copy", "_prefix", "_alive", "_sha", "_row", "_key", "_stays"):
             df = df.selectExpr("*", f"'clash' AS {name}")
     return df
 
 
 def empty(spark):
     return spark.createDataFrame([], DOCS)
+
+
+def odd_rows(spark):
+    """Ids that stand on several texts, ids that are null, rows repeated whole, and a text that only rows without an id have."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [
+        (5, "a"), (7, "A"), (5, "b"), (None, "a"), (None, "b"), (None, "c only"), (None, "c only"), (9, "d"), (9, "d"), (3, base), (5, base + " more"), (5, "another text"), (None, base), (11, None), (12, ""), (None, None),
+    ]
+    return spark.createDataFrame([(i, t, "en", "s1", None) for i, t in rows], DOCS)

@@ -2,7 +2,7 @@ import hashlib
 import string
 from collections import defaultdict
 
-from tests.llm.fixtures import documents, empty
+from tests.llm.fixtures import documents, empty, odd_rows
 from wirelens.llm import exact
 
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -33,3 +33,27 @@ def test_hot_group_and_empty_table(spark):
     got = exact.exact_groups(df).where("group_size > 1").selectExpr("count(*)", "min(keep_id)", "max(group_size)").first()
     assert tuple(got) == (600, 899, 600)
     assert exact.exact_groups(empty(spark)).count() == 0 and exact.exact_dedup(empty(spark)).count() == 0
+
+
+def brute(rows):
+    """One row a text: that with the largest id, null being the smallest."""
+    best = {}
+    for r in rows:
+        key = (r.text or "").translate(FOLD)
+        if key not in best or (r.doc_id is not None and (best[key] is None or r.doc_id > best[key])):
+            best[key] = r.doc_id
+    return sorted(best.items(), key=str)
+
+
+def kept(df):
+    return sorted((((r.text or "").translate(FOLD), r.doc_id) for r in df.collect()), key=str)
+
+
+def test_rows_are_judged_not_ids(spark, monkeypatch):
+    for df in (odd_rows(spark), documents(spark)):
+        expected = brute(df.collect())
+        assert kept(exact.exact_dedup(df)) == expected
+        with monkeypatch.context() as m:
+            m.setattr(exact, "MOST_KEYS", -1)  # too many groups to broadcast
+            assert kept(exact.exact_dedup(df)) == expected
+            assert sorted(map(str, exact.exact_groups(df).collect())) and exact.exact_groups(df).count() == df.count()

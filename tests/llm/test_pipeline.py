@@ -1,7 +1,15 @@
 import string
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from wirelens.llm import simhash, toxicity
+from tests.llm.fixtures import documents, empty, odd_rows
+from tests.llm.test_simhash import brute_kept, wide_link
+from wirelens.llm import toxicity
 from wirelens.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -22,14 +30,7 @@ def test_stages_against_brute_force(spark):
         last[key] = max(last.get(key, -1), r.doc_id)
     assert sorted(last.values()) == sorted(r.doc_id for r in once.collect())
     far = stages["simhash_near_dedup"](spark, once, SF).cache()
-    fps = sorted((r.doc_id, simhash.fingerprint(r.text, 4)) for r in once.collect())
-    group = {i: i for i, _ in fps}
-    for a, x in fps:
-        for b, y in fps:
-            if a < b and (x ^ y).bit_count() <= 4 and group[a] != group[b]:
-                low, high = sorted((group[a], group[b]))
-                group = {i: low if g == high else g for i, g in group.items()}
-    assert sorted(set(group.values())) == sorted(r.doc_id for r in far.collect())
+    assert sorted(((r.doc_id is None, r.doc_id) for r in far.collect()), key=str) == brute_kept(once.collect(), wide_link)
     mixed = stages["mixing"](spark, far, SF).cache()
     assert mixed.columns == docs.columns
     assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in far.collect()}
@@ -44,6 +45,31 @@ def test_stages_against_brute_force(spark):
             at += length
         assert at <= 2048
     assert packed.where("piece = 0").count() == mixed.count()
+    bare = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {}
+    for r in packed.collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        ids.setdefault(r.doc_id, {})[r.piece] = r.ids
+    for r in mixed.limit(50).collect():
+        assert [x for k in sorted(ids[r.doc_id]) for x in ids[r.doc_id][k]] == [*bare.encode(r.text or "", add_special_tokens=False).ids, 0]
+
+
+@pytest.mark.parametrize("make", [odd_rows, empty, documents])
+def test_stages_take_odd_rows(spark, make):
+    """Nulls, repeated ids, rows repeated whole, an empty table and clashing names: all stages but the last keep the columns."""
+    docs = make(spark)
+    texts = {(r.text or "").translate(FOLD) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        left = {(r.text or "").translate(FOLD) for r in docs.collect()}
+        assert left <= texts, name
+        if name == "exact_dedup":
+            assert left == texts
+        texts = left
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("piece = 0").count() == docs.count()
 
 
 def test_run_gives_the_same_rows(spark):

@@ -22,13 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset, as in local tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset and driver and executors are one process, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return sc.getCheckpointDir()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def save(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -73,6 +87,11 @@ def remainder_col(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """A hash of a row's id and text, either of which may be null."""
+    return F.xxhash64(id_.cast("string"), id_.isNull(), text.cast("string"), text.isNull())
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, weight: int | None = None, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of bounded size; ``weight`` is the position of the column that holds the bulk."""
     held: list[tuple] = []

@@ -5,48 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import attach, fold_ascii, save
+from wirelens.llm.common import attach, fold_ascii, fresh, save
 
-#: The survivors of a step are passed on as a set of this many bits at most, which bounds the broadcast.
-SLOTS = 1 << 17
 PREFIX_CHARS = 128
+#: Up to so many groups of equal length and prefix, their keys (8 bytes each) are broadcast to the scan that hashes whole texts.
+MOST_KEYS = 1 << 19
 
 
-def _slot(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+def _prefix(text: Column) -> tuple[Column, Column]:
+    """Length in bytes, and a hash of length and first characters."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    size = F.octet_length(text)
+    return size, F.xxhash64(size, fold_ascii(F.substring(text, 1, PREFIX_CHARS)))
 
 
-def _surviving(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Slots of the key groups that have more than one row; a slot may also let through a lone row, which the next step sees."""
-    groups = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    return F.broadcast(groups.select(_slot(*keys).alias("slot")).distinct())
+def _digest(text: Column) -> Column:
+    return F.sha2(fold_ascii(text.cast("string")).cast("binary"), 256)
+
+
+def _surviving(docs: DataFrame, text_col: str) -> tuple[DataFrame, int, bool]:
+    """Keys of length and prefix that more than one row has, the number of rows, and whether the keys are few enough to broadcast.
+
+    Lengths are counted first; only rows whose length repeats are counted by
+    prefix. Both counts combine before the shuffle, so a hot key moves a row a
+    task. Keys are hashes; two groups that share one only cost a hash of texts.
+    """
+    size, prefix = _prefix(F.col(text_col))
+    narrow = save(docs.select(size.alias("size"), prefix.alias("prefix")))
+    sizes = save(narrow.groupBy("size").agg(F.count("*").alias("n")))
+    total = int(sizes.agg(F.sum("n")).first()[0] or 0)
+    again = attach(narrow, sizes.where("n > 1"), ["size"], total).where("n > 1")
+    keys = save(again.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"))
+    return keys, total, keys.count() <= MOST_KEYS
+
+
+def _alive(df: DataFrame, keys: DataFrame, few: bool, text_col: str, name: str) -> DataFrame:
+    """``df`` with a flag: whether a row's length and prefix repeat. With too many keys for a broadcast every row is taken to be alive, as hashing a text costs less than moving it."""
+    if not few:
+        return df.withColumn(name, F.lit(True))
+    (key,) = fresh(df, "_prefix")
+    marked = df.withColumn(key, _prefix(F.col(text_col))[1]).join(F.broadcast(keys.select(F.col("prefix").alias(key), F.lit(True).alias(name))), key, "left")
+    return marked.withColumn(name, F.coalesce(name, F.lit(False))).drop(key)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as
-    empty. Of equal texts the row with the largest id stays. Rows whose length
-    is unique are settled without hashing; rows whose length and prefix are
-    unique without a hash of the whole text (``text_sha256`` is then null
-    unless ``digest`` asks for it everywhere). Rows that repeat both id and
-    text count each in ``group_size``, and each has ``kept`` set if its id is
-    the largest; ``exact_dedup`` keeps one of them. An empty table gives an
-    empty result; other columns are ignored.
+    empty. Of equal texts the row with the largest id stays; a null id is
+    smaller than any other. Rows whose length is unique are settled without
+    hashing; rows whose length and prefix are unique without a hash of the
+    whole text (``text_sha256`` is then null unless ``digest`` asks for it
+    everywhere). Rows that repeat both id and text count each in
+    ``group_size``, and each has ``kept`` set if its id is the largest;
+    ``exact_dedup`` keeps one of them. An empty table gives an empty result;
+    other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).alias("id"), text.alias("t")).select(
-        "id", "t", F.octet_length("t").alias("size"), F.xxhash64(fold_ascii(F.substring("t", 1, PREFIX_CHARS))).alias("prefix")
-    )
-    narrow = save(read.select("id", "size", "prefix"))
-    total = narrow.count()
-    by_size = narrow.withColumn("slot", _slot("size")).join(_surviving(narrow, ["size"]), "slot", "left_semi")
-    slots = _surviving(by_size, ["size", "prefix"]).withColumn("alive", F.lit(True))
-    full = F.sha2(fold_ascii(F.col("t")).cast("binary"), 256)
-    hashed = read.withColumn("slot", _slot("size", "prefix")).join(slots, "slot", "left").select(
-        "id", F.coalesce("alive", F.lit(False)).alias("alive"), (full if digest else F.when(F.col("alive"), full)).alias("sha")
-    )
-    hashed = save(hashed)
+    keys, total, few = _surviving(docs, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    full = _digest(F.col("t"))
+    hashed = save(_alive(rows, keys, few, "t", "alive").select("id", "alive", (full if digest else F.when(F.col("alive"), full)).alias("sha")))
     alive, lone = hashed.where("alive"), hashed.where("not alive")
     groups = save(alive.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("n")))
     joined = attach(alive, groups, ["sha"], total).select("id", "keep_id", F.col("n").alias("group_size"), "sha")
@@ -57,15 +75,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of equal texts the one with the largest id (see ``exact_groups``)."""
-    groups = save(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "kept"))
-    dropped = groups.where("not kept").select("_id").distinct()
-    repeated = groups.where("kept").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1")
-    marked = docs.join(dropped, docs[id_col] == dropped["_id"], "left_anti")
-    if repeated.isEmpty():
-        return marked
-    # An id that is repeated: one row of each of its texts stays.
-    again = save(repeated.select("_id"))
-    once = marked.join(again, marked[id_col].eqNullSafe(again["_id"]), "left_anti")
-    more = marked.join(again, marked[id_col].eqNullSafe(again["_id"]), "left_semi").withColumn("_t", fold_ascii(F.col(text_col)))
-    return once.unionByName(more.dropDuplicates([id_col, "_t"]).drop("_t"))
+    """The rows of ``docs`` that stay, all columns: one row for each text, with the largest id.
+
+    Equality and ids are those of ``exact_groups``. Rows, not ids, are judged:
+    an id that stands on several texts stays with each text of which it is the
+    largest, and a row without an id stays if no equal text has one. Of rows
+    alike in id and text one stays. Rows of which length or prefix is unique
+    stay where they are; of the others each task sends one row a text.
+    """
+    keys, _, few = _surviving(docs, text_col)
+    alive, sha, row = fresh(docs, "_alive", "_sha", "_row")
+    marked = _alive(docs, keys, few, text_col, alive)
+    order = F.struct(F.col(id_col), F.xxhash64(F.col(text_col)))
+    best = marked.where(F.col(alive)).groupBy(_digest(F.col(text_col)).alias(sha)).agg(F.max_by(F.struct(*docs.columns), order).alias(row))
+    kept = best.select(*(F.col(row)[c].alias(c) for c in docs.columns))
+    return kept if not few else marked.where(~F.col(alive)).select(docs.columns).unionByName(kept)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import WORD, save
+from wirelens.llm.common import WORD, fresh, save
 
 #: Weights of the sources in code-point order, null last, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -134,12 +134,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Rows without words stay once. Rows alike in id, source and text share
     what the mix takes of them evenly.
     """
+    place, copies, copy = fresh(docs, "_place", "_copies", "_copy")
     share = mix(docs, id_col, text_col, source_col, seed=seed, **how).groupBy("place").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = share.select(F.col("place").alias("_place"), F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies"))
+    often = share.select(F.col("place").alias(place), F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(copies))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.withColumn("_place", _place(F.col(id_col), F.col(source_col).cast("string"), F.xxhash64(text), seed))
-    often = named.join(copies.where("_copies > 0"), "_place").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return often.select(docs.columns)
+    named = docs.withColumn(place, _place(F.col(id_col), F.col(source_col).cast("string"), F.xxhash64(text), seed))
+    return named.join(often.where(F.col(copies) > 0), place).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def _points(spark, slots: int, point: Column) -> DataFrame:

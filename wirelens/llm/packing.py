@@ -59,6 +59,14 @@ def encode(text: str | None, json_path: str, ranks_path: str | None = None, spec
     return np.array(ordinary.encode(text, add_special_tokens=False).ids, "<u4")
 
 
+@cache
+def _packed(json_path: str) -> str:
+    """The type that ids are stored in before they are packed."""
+    if encoders(json_path, None)[0].get_vocab_size() > 1 << 16:
+        raise ValueError("ids are kept with vocabularies of 65,536 tokens at most")
+    return "<u2"
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full ones, of which the first may be shorter."""
     if n <= capacity:
@@ -70,11 +78,14 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise whole texts, end each with id 0 and cut those longer than ``capacity``.
 
-    Per piece: id, piece, start, length, ids_crc32 and, if asked for, ids. A
-    null text counts as empty and gives one piece that holds the end alone.
+    Per piece: id, piece, start, length, ids_crc32 and, if asked for, ids: as
+    16-bit numbers side by side while a vocabulary fits, which ``pack`` turns
+    into arrays. A null text counts as empty and gives one piece that holds
+    the end alone. Repeated rows each give their pieces; other columns are
+    ignored.
     """
     kind = docs.schema[id_col].dataType
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int64()))] if with_ids else [])])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part in parts:
@@ -82,10 +93,10 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None = None,
                 ids = np.append(encode(text.as_py(), json_path, ranks_path), np.uint32(0)).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length]
-                    yield (i, k, start, length, zlib.crc32(own.tobytes()), *([own.astype(np.int64).tolist()] if with_ids else []))
+                    yield (i, k, start, length, zlib.crc32(own.tobytes()), *([own.astype(_packed(json_path)).tobytes()] if with_ids else []))
 
-    names = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    out = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: batches(rows(it), schema), names)
+    names = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    out = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: batches(rows(it), schema, weight=5 if with_ids else None), names)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", id_col)
 
 
@@ -140,7 +151,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, id_col
 
     Pieces are dealt by hash into groups of about ``group`` rows, whatever the
     size of the table, and each group is packed alone. Repeated rows are
-    placed each on its own; an empty table stays empty.
+    placed each on its own; an empty table stays empty. Ids, where there are
+    any, become arrays.
     """
     pieces = save(pieces)
     groups = max(1, round(pieces.count() / group))
@@ -149,8 +161,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, id_col
         pdf = pdf.sort_values(["length", "_h", "piece"], kind="stable").reset_index(drop=True)
         bins, offsets = place(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"], pdf["offset"] = bins + pdf["_g"].astype("int64") * (1 << 32), offsets
+        if "ids" in pdf:
+            pdf["ids"] = [np.frombuffer(x, "<u2").astype(np.int32) for x in pdf["ids"]]
         return pdf.drop(columns=["_g", "_h"])
 
-    hashed = pieces.withColumn("_h", F.xxhash64(id_col, "piece", "ids_crc32")).withColumn("_g", F.pmod("_h", F.lit(groups)))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    # Rows without an id may repeat, so the hash also has where they stand among the pieces.
+    hashed = pieces.withColumn("_h", F.xxhash64(id_col, "piece", "ids_crc32", F.monotonically_increasing_id() % 8191)).withColumn("_g", F.pmod("_h", F.lit(groups)))
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())) if f.name == "ids" else f for f in pieces.schema.fields]
+    schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return hashed.groupBy("_g").applyInPandas(fill, schema)

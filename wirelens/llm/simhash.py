@@ -10,15 +10,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import attach, batches, components, save, words
+from wirelens.llm.common import attach, batches, components, fresh, row_key, save, words
 
 RADIUS = 4
-#: Tiles hold a 64th of the fingerprints each, within these bounds; so the pairs of tiles, and the copies sent of each, stay as many.
-TILES, LEAST, MOST = 64, 512, 1 << 18
-
-
-def fingerprint(text: str | None, shingle: int = 5) -> int:
-    """SimHash of a text's word shingles, repeats included: a bit is 1 if set in over half of the hashes. No words: 0."""
+#: Of the wide fingerprint of 128 bits: 26 differing bits stand for a similarity of about 0.8 (20 are expected at 0.8, with a deviation of 4), 16 of them in the first half.
+WIDE_RADIUS, FIRST_RADIUS = 26, 16
+#: Tiles hold a 32nd of the fingerprints each, within these bounds; so the pairs of tiles, and the copies sent of each, stay as many.
+TILES, LEAST, MOST = 32, 512, 1 << 18
+#: Pairs that a strip of a comparison holds at once.
+STRIP = 1 << 21
+#: Up to so many dropped rows, their keys (8 bytes each) are broadcast.
+MOST_KEYS = 1 << 19
+
+
+def fingerprint(text: str | None, shingle: int = 5, wide: bool = False) -> int:
+    """SimHash of a text's word shingles, repeats included: a bit is 1 if set in over half of the hashes. No words: 0. 64 bits, or 128."""
     w = words(text)
     if not w:
         return 0
@@ -27,36 +33,44 @@ def fingerprint(text: str | None, shingle: int = 5) -> int:
     k = min(shingle, len(w))
     stops = ends[k - 1 :].tolist()
     starts = [0, *(ends[: len(w) - k] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    ones, n = np.zeros(64, np.int64), len(stops)
+    n, size = len(stops), 16 if wide else 8
+    digest = xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest  # most significant byte first
+    ones = np.zeros(8 * size, np.int64)
     for a in range(0, n, 1 << 16):
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[a : a + (1 << 16)], stops[a : a + (1 << 16)], strict=True)], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+        h = b"".join([digest(joined[s:e], 42) for s, e in zip(starts[a : a + (1 << 16)], stops[a : a + (1 << 16)], strict=True)])
+        ones += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, size), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
 
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
 
-def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``fp`` (64 bits as a signed number) of every row; a null text counts as empty."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+
+def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """id, key (of id and text), and fingerprint of every row: ``fp``, the first 64 bits as a signed number, and ``fp2``, the others or 0; a null text counts as empty."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64())])
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part in parts:
-            for i, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                fp = fingerprint(text.as_py(), shingle)
-                yield i, fp - (fp >> 63 << 64)
+            for i, key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                fp = fingerprint(text.as_py(), shingle, wide)
+                yield (i, key, _signed(fp >> 64), _signed(fp & (1 << 64) - 1)) if wide else (i, key, _signed(fp), 0)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda it: batches(rows(it), schema), "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long"), row_key(F.col(id_col), text), text).mapInArrow(lambda it: batches(rows(it), schema), "doc_id long, key long, fp long, fp2 long")
 
 
-def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, step: int | None = None, a2: np.ndarray | None = None, b2: np.ndarray | None = None, whole: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between tiles a and b, or within a: indices into a, and into b (or a).
 
-    Links are pairs at ``radius`` or fewer differing bits. Each strip of the
-    comparison is reduced to edges that join parts not joined before, so a
-    group of many near copies gives one edge a member.
+    Links are pairs at ``radius`` or fewer differing bits; with second halves
+    a2 and b2, those of them at ``whole`` or fewer in both halves. Each strip
+    of the comparison is reduced to edges that join parts not joined before,
+    so a group of many near copies gives one edge a member.
     """
     own = b is None
-    b = a if own else b
+    b, b2 = (a, a2) if own else (b, b2)
+    step = step or max(1, STRIP // max(1, len(b)))
     shift = 0 if own else len(a)
     label = np.arange(len(a) + (0 if own else len(b)))
     left, right = [], []
@@ -67,6 +81,9 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, step: int =
             break
         i, j = np.nonzero(np.bitwise_count(strip[:, None] ^ b[None, first:]) <= radius)
         i, j = i + s, j + first
+        if a2 is not None:
+            near = np.bitwise_count(a[i] ^ b[j]).astype(np.int64) + np.bitwise_count(a2[i] ^ b2[j]) <= whole
+            i, j = i[near], j[near]
         if own:
             i, j = i[j > i], j[j > i]
         while len(i):
@@ -75,9 +92,9 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, step: int =
             i, j, p, q = i[apart], j[apart], p[apart], q[apart]
             if not len(i):
                 break
-            # Each part hangs itself on the smallest part it meets; one edge stands for that.
+            # Each part hangs itself on the part before it that is nearest in bits; one edge stands for that.
             high, low = np.maximum(p, q), np.minimum(p, q)
-            order = np.lexsort((low, high))
+            order = np.lexsort((low, np.bitwise_count(a[i] ^ b[j]), high))
             keep = order[np.r_[True, high[order][1:] != high[order][:-1]]]
             left.append(i[keep])
             right.append(j[keep])
@@ -90,61 +107,131 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, step: int =
     return np.concatenate([none, *left]).astype(np.int64), np.concatenate([none, *right]).astype(np.int64)
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints whose components are those of all links at ``radius`` or fewer bits.
+def near_links(classes: DataFrame, radius: int = RADIUS, whole: int | None = None) -> DataFrame:
+    """Edges (a, b) between nodes whose components are those of all links (see ``links``; ``whole`` is given with second halves).
 
-    ``fps`` has distinct fingerprints in ``fp``. Fingerprints of equal
-    population count form tiles of bounded size. Tiles are compared whole if
-    their counts differ by ``radius`` at most; beyond it no pair can link.
+    ``classes`` has distinct fingerprints: node, fp, fp2. Fingerprints of
+    equal population count in fp form tiles of bounded size. Tiles are compared
+    whole if their counts differ by ``radius`` at most; beyond it no pair can
+    link.
     """
-    fps = fps.select("fp", F.bit_count("fp").alias("pop"))
+    fps = classes.select(F.struct("fp", "fp2", "node").alias("fp"), F.bit_count("fp").alias("pop"))
     per = {r["pop"]: r["n"] for r in fps.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     if not per:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+        return classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     tile = min(MOST, max(LEAST, sum(per.values()) // TILES))
     parts = F.create_map(*(F.lit(x) for p, n in per.items() for x in (p, -(-n // tile))))
-    tiles = fps.withColumn("part", F.pmod(F.xxhash64("fp"), F.element_at(parts, F.col("pop")))).groupBy("pop", "part").agg(F.collect_list("fp").alias("fps"))
+    tiles = fps.withColumn("part", F.pmod(F.xxhash64("fp.node"), F.element_at(parts, F.col("pop")))).groupBy("pop", "part").agg(F.collect_list("fp").alias("fps"))
     # A tile goes to every pair that it is part of; the pair (x, x) compares it with itself.
     other = tiles.withColumn("pop2", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pop") - radius), F.least(F.lit(64), F.col("pop") + radius))))
     other = other.where(F.map_contains_key(parts, F.col("pop2"))).withColumn("part2", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("pop2")) - 1)))
     me, it = F.struct(F.col("pop").cast("int"), F.col("part").cast("int")), F.struct(F.col("pop2").cast("int"), F.col("part2").cast("int"))
-    sent = other.select(F.least(me, it).alias("x"), F.greatest(me, it).alias("y"), "fps")
+    sent = other.select(F.least(me, it).alias("x"), F.greatest(me, it).alias("y"), *(F.col("fps")[c].alias(c) for c in ("fp", "fp2", "node")))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(key: tuple, pair: pa.Table) -> pa.Table:
-        tiles = [np.asarray(x.values if hasattr(x, "values") else x).view(np.uint64) for x in pair.column("fps")]
-        a, b = (tiles[0], None) if len(tiles) == 1 else sorted(tiles[:2], key=len)
-        i, j = links(a, b, radius)
-        b = a if b is None else b
-        return pa.table([a[i].view(np.int64), b[j].view(np.int64)], schema=schema)
+        tiles = sorted(([np.asarray(x.values).view(np.uint64) for x in row] for row in zip(*(pair.column(c) for c in ("fp", "fp2", "node")), strict=True)), key=lambda t: len(t[0]))
+        (a, a2, own), (b, b2, other) = tiles[0], tiles[1] if len(tiles) > 1 else (None, None, None)
+        i, j = links(a, b, radius) if whole is None else links(a, b, radius, a2=a2, b2=b2, whole=whole)
+        return pa.table([own[i].view(np.int64), (own if other is None else other)[j].view(np.int64)], schema=schema)
 
     return sent.groupBy("x", "y").applyInArrow(compare, "a long, b long")
 
 
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of a text's different word shingles; of its whole sequence of words if that is shorter."""
+    w = words(text)
+    k = min(shingle, len(w))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + k])) for i in range(len(w) - k + 1 if w else 0)), np.uint64))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; of two empty ones 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def checked(edges: DataFrame, texts: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
+    """The edges (a, b) whose texts' shingles are alike to ``similarity`` or more. ``texts`` has one row a node: node, text."""
+    sets = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+
+    def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(((i, shingle_set(t.as_py(), shingle).tobytes()) for part in parts for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)), sets, weight=1)
+
+    def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            near = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity for x, y in zip(part.column("x"), part.column("y"), strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    used = save(edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")))
+    known = save(texts.select("node", "text").mapInArrow(hashed, "node long, set binary").join(used, "node"))
+    left = attach(edges, known.select(F.col("node").alias("a"), F.col("set").alias("x"), "n"), ["a"], edges.count()).drop("n")
+    left = save(left)
+    both = attach(left, known.select(F.col("node").alias("b"), F.col("set").alias("y"), "n"), ["b"], left.count())
+    return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def _classes(docs: DataFrame, shingle: int, radius: int, similarity: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Saved rows (doc_id, key, node) and classes of equal fingerprints (node, fp, component, n); with ``similarity``, links of wide fingerprints are checked."""
+    wide = similarity is not None
+    node = F.xxhash64("fp", "fp2") if wide else F.col("fp")
+    rows = save(fingerprints(docs, shingle, id_col, text_col, wide).withColumn("node", node))
+    classes = save(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.count("*").alias("n"), F.min("key").alias("one")))
+    edges = save((near_links(classes, FIRST_RADIUS, radius) if wide else near_links(classes, radius)).distinct())
+    if wide:
+        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = save(classes.join(ends, "node").select("node", F.col("one").alias("key")))
+        texts = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+        texts = texts.join(F.broadcast(wanted) if wanted.count() <= MOST_KEYS else wanted, "key").groupBy("node").agg(F.any_value("text").alias("text"))
+        edges = save(checked(edges, texts, similarity, shingle))
+    found = components(edges, "a", "b").withColumnRenamed("node", "linked")
+    return rows, save(classes.join(found, classes["node"] == found["linked"], "left").select("node", "fp", "n", F.coalesce("component", "node").alias("component")))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (smallest id reachable by links).
 
     Equal fingerprints are one class before any comparison. Texts without
     words, and nulls, have fingerprint 0 and link like any other. Repeated
-    rows each give a row; an empty table gives none.
+    rows each give a row; null ids have no part in a component's smallest id.
+    An empty table gives an empty result; other columns are ignored.
     """
-    rows = save(fingerprints(docs, shingle, id_col, text_col))
-    total = rows.count()
-    classes = save(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
-    edges = save(near_links(classes, radius).distinct())
-    found = components(edges, "a", "b")
-    linked = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("component"))
-    lows = linked.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
-    linked, lows = save(linked), save(lows)
-    named = attach(linked.drop("n").withColumnRenamed("n", "size"), lows, ["component"], linked.count()).select("fp", "component_id")
-    sizes = save(named.join(classes.select("fp", "n"), "fp"))
-    return attach(rows, sizes, ["fp"], total).select(
+    rows, classes = _classes(docs, shingle, radius, None, id_col, text_col)
+    lows = rows.groupBy("node").agg(F.min("doc_id").alias("low"))
+    per = classes.join(lows, "node").groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    named = save(attach(classes.withColumnRenamed("n", "rows"), save(per), ["component"], classes.count()).select("node", "fp", "component_id", F.col("rows").alias("n")))
+    return attach(rows.select("doc_id", "node"), named, ["node"], rows.count()).select(
         F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each group the one with the smallest id."""
-    groups = simhash_groups(docs, shingle, radius, id_col, text_col)
-    gone = groups.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each group of near copies the one with the smallest id.
+
+    Fingerprints have 128 bits here, and the default radius proposes nearly
+    all pairs whose shingles are alike to 0.8. Of each part's links the
+    nearest is checked by the texts' sets of shingles, and holds from
+    ``similarity`` on; so a group of many near copies gives a check a member,
+    not one a pair. Texts of equal fingerprints count as alike. Rows, not ids,
+    are judged: an id that stands on several texts is no reason to drop any. A
+    row without an id stays if no other of its group has one. Of rows alike in
+    id and text one stays. Texts without words form one group. An empty table
+    gives an empty result.
+    """
+    rows, classes = _classes(docs, shingle, radius, similarity, id_col, text_col)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    lows = rows.groupBy("node").agg(F.min(first).alias("low"))
+    per = save(classes.join(lows, "node").groupBy("component").agg(F.min("low").alias("low"), F.count("*").alias("n")))
+    kept = save(attach(classes.withColumnRenamed("n", "rows"), per, ["component"], classes.count()).select("node", F.col("low.key").alias("kept"), F.col("rows").alias("n")))
+    judged = attach(rows.select("key", "node"), kept, ["node"], rows.count())
+    keys = save(judged.groupBy("key").agg(F.first(F.col("key") == F.col("kept")).alias("stays"), F.count("*").alias("n")))
+    key, stays, row = fresh(docs, "_key", "_stays", "_row")
+    named = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    gone = keys.where("not stays").select(F.col("key").alias(key))
+    left = named.join(F.broadcast(gone) if gone.count() <= MOST_KEYS else gone, key, "left_anti")
+    again = keys.where("stays and n > 1").select(F.col("key").alias(key))
+    if again.isEmpty():
+        return left.select(docs.columns)
+    # Rows that are repeated whole: each task sends one of them.
+    one = left.join(again, key, "left_semi").groupBy(key).agg(F.any_value(F.struct(*docs.columns)).alias(row))
+    return left.join(again, key, "left_anti").select(docs.columns).unionByName(one.select(*(F.col(row)[c].alias(c) for c in docs.columns)))
