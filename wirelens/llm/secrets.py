@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,13 +19,14 @@ from wirelens.llm.common import batches
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
+HEXES = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "novel")
 #: Words that make their surroundings sensitive.
 SENSITIVE = re.compile(r"passw|pwd|secret|token|api_?key|key|auth|bearer|credential|private|signature|salt", re.ASCII | re.IGNORECASE)
 SENSITIVE_HINTS = ("passw", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private", "signature", "salt")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-#: Identifiers that code and settings hold often; they prime the compressor.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: Identifiers that code and settings hold often; they prime the compressor, before those of the corpus.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret session cookie username user_id "
     "authorization bearer basic signature credential certificate example placeholder changeme default undefined null true false function return import "
@@ -31,36 +34,58 @@ IDENTIFIERS = (
     "localhost http https www example com org net html json xml utf-8 base64 encode decode encrypt decrypt hash salt random uuid timestamp version "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 xxxxxxxxxxxxxxxx"
 )
-#: Characters of context on either side; how far before a candidate a sensitive word may stand; the compressed bytes that each of its bytes adds at least.
-#: Random strings add over 1 a byte, as they fit neither the matches nor the letter counts of what is around; compounds of known identifiers 0.3 to 0.9.
-AROUND, BEFORE, NOVEL = 256, 48, 1.0
+#: Words that count as identifiers of the corpus, and how many of them, the most frequent ones, prime the compressor.
+IDENTIFIER, MOST_IDENTIFIERS = re.compile(r"[A-Za-z_][A-Za-z0-9_]{5,39}"), 8192
+#: Different words that a task holds before it passes their counts on.
+MOST_HELD = 300_000
+#: Characters of context on either side; how far behind a sensitive word's end a candidate may begin, on its line.
+AROUND, BEFORE = 256, 48
+#: A string is new from this share of the bytes on that random strings like it add in its place, and random strings it is measured against.
+NOVEL, STANDINS = 0.88, 4
+#: Known text before the surroundings: where little else is compressed, a compressor would store all of it as it is, and known strings would look new.
+FILLER = IDENTIFIERS[: len(IDENTIFIERS) // 2].encode()
 
 
 @cache
-def _packer() -> zstandard.ZstdCompressor:
-    primer = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def _packer(identifiers: str) -> zstandard.ZstdCompressor:
+    primer = zstandard.ZstdCompressionDict(identifiers.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primer.precompute_compress(level=9)
     return zstandard.ZstdCompressor(level=9, dict_data=primer, write_checksum=False, write_content_size=False)
 
 
-def novelty(candidate: str, before: str, after: str = "") -> float:
-    """Marginal compressed bytes of a candidate, given its surroundings and the identifiers, as a share of its bytes.
+@cache
+def _standins(shape: str) -> tuple[str, ...]:
+    """Random strings of a shape: ``a``, ``A``, ``f`` and ``0`` stand for a letter, a capital, a hex letter and a digit; others are kept."""
+    rng = random.Random(shape)
+    letters = {"a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "f": "abcdef", "F": "ABCDEF", "0": "0123456789"}
+    return tuple("".join(rng.choice(letters.get(c, c)) for c in shape) for _ in range(STANDINS))
+
+
+def _shape(s: str) -> str:
+    """Letters as ``a`` or ``A``, digits as ``0``; in a string of hex digits alone its letters are ``f`` or ``F``."""
+    small, large = ("f", "F") if HEXES.fullmatch(s) else ("a", "A")
+    return "".join(small if c.islower() else large if c.isupper() else "0" if c.isdigit() else c for c in s)
+
+
+def novelty(candidate: str, before: str, after: str = "", identifiers: str = IDENTIFIERS) -> float:
+    """Marginal compressed bytes of a candidate, given its surroundings and the identifiers, as a share of what random strings of its shape add.
 
     The surroundings are compressed behind the dictionary of identifiers, with
     the candidate in its place and without it; the difference is what it adds.
+    The share is about 1 for a random string of any alphabet and length, and
+    lower the more of it is known.
     """
     own, left, right = (x.encode("utf-8", "surrogatepass") for x in (candidate, before, after))
-    size = lambda data: len(_packer().compress(data))
-    return max(0, size(left + own + right) - size(left + right)) / max(1, len(own))
-
+    left = FILLER + left
+    size = lambda data: len(_packer(identifiers).compress(data))
+    without = size(left + right)
+    shape = _shape(candidate[:4096])  # the surest strings are long; the share of their start tells enough of the rest
+    usual = sum(size(left + x.encode() + right) - without for x in _standins(shape)) / STANDINS * (len(candidate) / max(1, len(shape)))
+    return max(0, size(left + own + right) - without) / max(1.0, usual)
 
-def _mixed(s: str) -> bool:
-    """Letters and digits, or capitals inside, and enough different characters."""
-    return len(set(s)) >= 8 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
-
-def spans(text: str | None) -> list[tuple[int, str, int, float]]:
-    """(start, kind, end, novelty) of all finds, by start and then kind. Offsets count code points; null is empty."""
-    text = text or ""
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the pattern finds, by start and then kind."""
     found: list[tuple[int, int, int]] = []
     low = text.lower()
     if any(h in low for h in ASSIGN_HINTS):
@@ -68,33 +93,68 @@ def spans(text: str | None) -> list[tuple[int, str, int, float]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    found.sort()
-    out = [(a, k, b, novelty(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND])) for a, k, b in found]
-    if any(h in low for h in SENSITIVE_HINTS):
-        ends = [(a, b) for a, _, b in found]
-        last = 0
-        for m in SENSITIVE.finditer(text):
-            # Candidates begin within reach of a sensitive word, on its line.
-            stop = text.find("\n", m.end(), m.end() + BEFORE)
-            stop = m.end() + BEFORE if stop < 0 else stop
-            at = max(last, m.start())
-            while (c := CANDIDATE.search(text, at)) and c.start() < stop:
-                at = last = c.end()
-                a, b = c.span()
-                if _mixed(c[0]) and not any(x < b and a < y for x, y in ends):
-                    rate = novelty(c[0], text[max(0, a - AROUND) : a], text[b : b + AROUND])
-                    if rate >= NOVEL:
-                        out.append((a, 3, b, rate))
-    return [(a, KINDS[k], b, rate) for a, k, b, rate in sorted(out)]
-
-
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    return sorted(found)
+
+
+def candidates(text: str, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of strings that begin at most ``BEFORE`` characters behind a sensitive word, on its line, and touch no pattern find; one pass over all three."""
+    low = text.lower()
+    if not any(h in low for h in SENSITIVE_HINTS):
+        return
+    words, last, k = SENSITIVE.finditer(text), -1, 0
+    word = next(words, None)
+    reach = 0  # the end of the pattern finds that begin before the candidate's end
+    for m in CANDIDATE.finditer(text):
+        while word is not None and word.start() <= m.start():
+            last, word = word.end(), next(words, None)
+        while k < len(found) and found[k][0] < m.end():
+            reach, k = max(reach, found[k][2]), k + 1
+        if last >= 0 and m.start() - last <= BEFORE and reach <= m.start() and text.find("\n", last, m.start()) < 0:
+            yield m.span()
+
+
+def spans(text: str | None, identifiers: str = IDENTIFIERS) -> list[tuple[int, str, int, float]]:
+    """(start, kind, end, novelty) of all finds, by start and then kind. Offsets count code points; null is empty."""
+    text = text or ""
+    found = base_spans(text)
+    rate = lambda a, b: novelty(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], identifiers)
+    out = [(a, k, b, rate(a, b)) for a, k, b in found]
+    out += [(a, 3, b, share) for a, b in candidates(text, found) if (share := rate(a, b)) >= NOVEL]
+    return [(a, KINDS[k], b, share) for a, k, b, share in sorted(out)]
+
+
+def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = MOST_IDENTIFIERS) -> str:
+    """The identifiers that most texts hold, the most frequent last, where a compressor finds them nearest, behind the fixed ones.
+
+    All texts are counted; tasks count their own texts before anything moves,
+    and the driver gets ``most`` words.
+    """
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+    def tally(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for part in parts:
+            for text in part.column(0):
+                held.update({w for w in IDENTIFIER.findall(text.as_py() or "") if not HEXES.fullmatch(w)})
+                if len(held) > MOST_HELD:
+                    yield from batches(held.items(), schema)
+                    held.clear()
+        yield from batches(held.items(), schema)
+
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    found = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return " ".join([IDENTIFIERS, *reversed(found)])
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, most_identifiers: int = MOST_IDENTIFIERS) -> DataFrame:
     """id and ``spans`` (array of kind, start, end, novelty and, if asked for, the string) of every row, also of rows without finds.
 
     Kinds: assign, access and hex by pattern; novel: other strings near a
-    sensitive word that stay long when compressed after their surroundings
-    and common identifiers. Null texts are empty; repeated rows each give a row.
+    sensitive word that stay as long as random ones when compressed among
+    their surroundings and the corpus's identifiers. Null texts are empty;
+    repeated rows each give a row; an empty table gives an empty result.
     """
+    identifiers = corpus_identifiers(docs, text_col, most_identifiers)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("novelty", pa.float64()), ("string", pa.string())]))
     schema = pa.schema([("doc_id", pa.int64()), ("spans", kind)])
 
@@ -102,7 +162,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for part in parts:
             for i, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 text = text.as_py()
-                yield i, [{"kind": k, "start": a, "end": b, "novelty": rate, "string": text[a:b] if with_text else None} for a, k, b, rate in spans(text)]
+                yield i, [{"kind": k, "start": a, "end": b, "novelty": rate, "string": text[a:b] if with_text else None} for a, k, b, rate in spans(text, identifiers)]
 
     out = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         lambda it: batches(rows(it), schema), "doc_id long, spans array<struct<kind string, start long, end long, novelty double, string string>>"
