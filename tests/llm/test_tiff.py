@@ -65,3 +65,56 @@ def test_texts_come_back_whole(spark):
         alike.setdefault(d.text or "", set()).update((r.media_sha256, r.media_bytes, r.feature) for r in got[d.doc_id])
     assert all(len(x) == 1 for x in alike.values())
     assert tiff.texts_read_back(empty(spark)).count() == 0
+
+
+def test_false_headers_give_error_rows():
+    image = np.arange(60 * 40 * 3, dtype=np.uint8).reshape(60, 40, 3)
+    good = bytearray(tiff.write_tiff([image], tiff.DEFLATE, 2, 16))
+    entries = int.from_bytes(good[4:8], "little") + 2
+    for tag in range(int.from_bytes(good[entries - 2 : entries], "little")):
+        for value in (0, 1, 2**31, 2**32 - 1):
+            for place in (4, 8):  # the count, the value
+                bad = bytearray(good)
+                bad[entries + 12 * tag + place : entries + 12 * tag + place + 4] = value.to_bytes(4, "little")
+                rows = list(tiff.read_pages(bytes(bad)))
+                assert rows and all((r[-1] is None) == (r[-2] is not None) for r in rows)
+
+
+@pytest.mark.parametrize("scheme", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+@pytest.mark.parametrize("tile", [0, 16])
+def test_mutated_files_never_raise(scheme, tile):
+    rng = np.random.default_rng(scheme + tile)
+    images = [rng.integers(0, 9, (40, 30, 3)).astype(np.uint8), rng.integers(0, 999, (17, 20, 1)).astype(np.uint16)]
+    good = tiff.write_tiff(images, scheme, 2, 16, tile)
+    for _ in range(300):
+        bad = bytearray(good)
+        for _ in range(int(rng.integers(1, 6))):
+            bad[int(rng.integers(0, len(bad)))] = int(rng.integers(0, 256))
+        for row in tiff.read_pages(bytes(bad[: int(rng.integers(0, len(bad) + 1))] if rng.random() < 0.2 else bad)):
+            assert len(row) == len(tiff.PAGE_SCHEMA.fields)
+
+
+def test_a_bomb_is_cut_short():
+    image = np.zeros((1, 8, 1), np.uint8)
+    data = bytearray(tiff.write_tiff([image], tiff.DEFLATE, 1, 1))
+    bomb = zlib.compress(bytes(50_000_000), 9)
+    at = data.index(zlib.compress(bytes(8), 1))
+    data = data + bomb
+    entries = int.from_bytes(data[4:8], "little") + 2
+    for k in range(int.from_bytes(data[entries - 2 : entries], "little")):
+        tag = int.from_bytes(data[entries + 12 * k : entries + 12 * k + 2], "little")
+        new = {tiff.STRIP_AT: len(data) - len(bomb), tiff.STRIP_SIZE: len(bomb)}.get(tag)
+        if new is not None:
+            data[entries + 12 * k + 8 : entries + 12 * k + 12] = new.to_bytes(4, "little")
+    (row,) = tiff.read_pages(bytes(data))
+    assert at and row[-1] is None and row[-2] == bytes(8)
+
+
+def test_features_equal_a_plain_count(spark):
+    df = documents(spark)
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in tiff.texts_read_back(df).collect():
+        data = tiff.payload(texts[r.doc_id])
+        means = [f"{sum(data[c::3]) / (len(data) // 3):.3f}" for c in range(3)]
+        bars = [sum(b >> 5 == k for b in data) for k in range(8)]
+        assert r.feature == f"mean={','.join(means)};hist={','.join(map(str, bars))}"

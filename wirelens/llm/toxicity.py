@@ -25,7 +25,7 @@ SYMBOLS, START, END, OTHER = 48, 28, 29, 30
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 SENTENCE = re.compile(r"[.!?\n]+\s")
 #: Bounds of the labelled sample that the machine is fitted on, and of its fitting.
-TOXIC_ROWS, CLEAN_ROWS, MOST_CHARS = 3000, 5000, 10_000
+TOXIC_ROWS, CLEAN_ROWS = 3000, 5000
 LANDMARKS, ROUNDS, NEGATIVES = 448, 4, 10_000
 #: A string is a witness by its counts alone from this log likelihood ratio, and this many times as frequent in toxic texts.
 SURE, RATIO = 10.0, 20
@@ -271,12 +271,12 @@ def logistic(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
-    """(text, label) of a bounded, repeatable sample of labelled rows outside the held-out remainder, texts above ``MOST_CHARS`` left out."""
+    """(text, label) of a bounded, repeatable sample of labelled rows outside the held-out remainder: ``toxic_rows`` and ``clean_rows`` of them at most, whole texts."""
     of = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_label in (0, 1)").groupBy("_id").agg(F.max("_label").alias("_label"))
     of = of.where(remainder_col(F.col("_id"), held_out[0]) != held_out[1])
-    # Twice the rows are drawn, as some have no text or a long one.
+    # Twice the rows are drawn, as some have no text.
     some = [of.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(2 * n) for y, n in ((1, toxic_rows), (0, clean_rows))]
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= MOST_CHARS)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
     rows = rows.join(F.broadcast(some[0].union(some[1])), "_id")
     order = [F.xxhash64("_id"), F.col("_id"), F.xxhash64("_text")]
     return rows.where("_label = 1").orderBy(*order).limit(toxic_rows).union(rows.where("_label = 0").orderBy(*order).limit(clean_rows)).select("_text", "_label")
@@ -332,9 +332,15 @@ def judged(parts: Iterator[pa.RecordBatch], machine: Machine, column: int | str)
             yield part, out
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, held_out, score, predicted, reason; fitted on ``labels`` outside the held-out remainder."""
-    found = score(docs, fitted(labelled_sample(docs, labels, held_out, id_col, text_col)), threshold, id_col, text_col)
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
+    """One row per row of ``docs``: id, held_out, score, predicted, reason; fitted on ``labels`` outside the held-out remainder.
+
+    The fit takes ``toxic_rows`` and ``clean_rows`` labelled rows at most;
+    every row is scored. Null and empty texts have the bias's score; repeated
+    rows each give a row, and an id's labels are joined to all its rows; an
+    empty table gives an empty result; other columns are ignored.
+    """
+    found = score(docs, fitted(labelled_sample(docs, labels, held_out, id_col, text_col, toxic_rows=toxic_rows, clean_rows=clean_rows)), threshold, id_col, text_col)
     return found.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), (remainder_col(F.col("doc_id"), held_out[0]) == held_out[1]).alias("held_out"), "score", "predicted", "reason")
 
 
