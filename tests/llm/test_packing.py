@@ -71,7 +71,7 @@ def test_pieces_and_sequences(spark):
         by[r.doc_id].append(r)
     for r in df.dropDuplicates(["doc_id"]).collect():
         ids = np.array([*packing.encode(r.text, JSON, None), 0], "<u4")
-        own = sorted({(p.piece, p.start, p.length, p.ids_crc32, tuple(p.ids)) for p in by[r.doc_id]})
+        own = sorted({(p.piece, p.start, p.length, p.ids_crc32, tuple(np.frombuffer(p.ids, '<u2').tolist())) for p in by[r.doc_id]})
         assert [x for p in own for x in p[4]] == ids.tolist()
         assert all(crc == zlib.crc32(ids[a : a + n].tobytes()) for _, a, n, crc, _ in own)
     assert len(got) == pieces.count()

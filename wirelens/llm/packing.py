@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirelens.llm.common import batches, save
+from wirelens.llm.common import batches, fresh, save
 
 CAPACITY = 2048
 #: Pieces that are packed together; a group leaves about one sequence part-filled.
@@ -78,11 +78,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise whole texts, end each with id 0 and cut those longer than ``capacity``.
 
-    Per piece: id, piece, start, length, ids_crc32 and, if asked for, ids: as
-    16-bit numbers side by side while a vocabulary fits, which ``pack`` turns
-    into arrays. A null text counts as empty and gives one piece that holds
-    the end alone. Repeated rows each give their pieces; other columns are
-    ignored.
+    Per piece: id, piece, start, length, ids_crc32 and, if asked for, ids: a
+    binary of little-endian unsigned 16-bit numbers. A null text counts as
+    empty and gives one piece that holds the end alone. Repeated rows each
+    give their pieces; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
@@ -150,23 +149,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, id_col
     """Add sequence_id and offset to ``pieces``; each sequence is filled without gaps from 0.
 
     Pieces are dealt by hash into groups of about ``group`` rows, whatever the
-    size of the table, and each group is packed alone. Repeated rows are
-    placed each on its own; an empty table stays empty. Ids, where there are
-    any, become arrays.
+    size of the table, and each group is packed alone, by its lengths; ids, if
+    there are any, stay with the JVM and are joined back. Repeated rows are
+    placed each on its own; an empty table stays empty.
     """
-    pieces = save(pieces)
+    (row,) = fresh(pieces, "_row")
+    pieces = save(pieces.withColumn(row, F.monotonically_increasing_id()))  # fixed by being saved
     groups = max(1, round(pieces.count() / group))
+    narrow = pieces.drop("ids")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "_h", "piece"], kind="stable").reset_index(drop=True)
         bins, offsets = place(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"], pdf["offset"] = bins + pdf["_g"].astype("int64") * (1 << 32), offsets
-        if "ids" in pdf:
-            pdf["ids"] = [np.frombuffer(x, "<u2").astype(np.int32) for x in pdf["ids"]]
         return pdf.drop(columns=["_g", "_h"])
 
-    # Rows without an id may repeat, so the hash also has where they stand among the pieces.
-    hashed = pieces.withColumn("_h", F.xxhash64(id_col, "piece", "ids_crc32", F.monotonically_increasing_id() % 8191)).withColumn("_g", F.pmod("_h", F.lit(groups)))
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())) if f.name == "ids" else f for f in pieces.schema.fields]
-    schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return hashed.groupBy("_g").applyInPandas(fill, schema)
+    hashed = narrow.withColumn("_h", F.xxhash64(id_col, "piece", "ids_crc32", row)).withColumn("_g", F.pmod("_h", F.lit(groups)))
+    schema = T.StructType([*narrow.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    placed = hashed.groupBy("_g").applyInPandas(fill, schema)
+    if "ids" not in pieces.columns:
+        return placed.drop(row)
+    return pieces.join(placed.select(row, "sequence_id", "offset"), row).drop(row)

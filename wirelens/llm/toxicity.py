@@ -25,7 +25,7 @@ SYMBOLS, START, END, OTHER = 48, 28, 29, 30
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 SENTENCE = re.compile(r"[.!?\n]+\s")
 #: Bounds of the labelled sample that the machine is fitted on, and of its fitting.
-TOXIC_ROWS, CLEAN_ROWS = 3000, 5000
+TOXIC_ROWS, CLEAN_ROWS = 3000, 4000
 LANDMARKS, ROUNDS, NEGATIVES = 448, 4, 10_000
 #: A string is a witness by its counts alone from this log likelihood ratio, and this many times as frequent in toxic texts.
 SURE, RATIO = 10.0, 20
