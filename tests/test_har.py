@@ -141,3 +141,16 @@ def test_counts_and_durations_do_not_mix(spark):
     for bad in ("d + n", "greatest(d, n)", "d > n", "CASE WHEN n = 1 THEN d ELSE n END"):
         with pytest.raises(AnalysisException):
             df.selectExpr(bad).collect()
+
+
+def test_patterns_and_several_paths(spark, tmp_path):
+    for name, n in (("a/x.har", 1), ("a/y.har", 2), ("b/z.har", 3), ("b/note.txt", 4)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(ENCODINGS[0](capture(n)), encoding="utf-8")
+    sizes = lambda *paths: sorted(r.n_entries for r in ops.normalise(spark.read.format("har").option("capture_id", "c").load(*paths))[0].collect())
+    assert sizes(f"{tmp_path}/a/*.har") == sizes(f"{tmp_path}/a") == [1, 2]
+    assert sizes(f"{tmp_path}/*/*.har") == [1, 2, 3]
+    assert sizes(f"file://{tmp_path}/[b]/z.har") == [3]
+    assert sizes([f"{tmp_path}/a/y.har", f"{tmp_path}/b/*.har"]) == [2, 3]
+    with pytest.raises(Exception, match="no capture"):
+        sizes(f"{tmp_path}/*.json")

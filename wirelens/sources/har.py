@@ -11,6 +11,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 from urllib.parse import urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -76,7 +77,7 @@ def walk(text: str) -> Iterator[tuple[str, object]]:
             key, at = item
             if key == "log" and at < len(text) and text[at] == "{":
                 status = "truncated"
-                log = _members(text, at)
+                log, end = _members(text, at), None
                 try:
                     inner = next(log)
                     while True:
@@ -100,7 +101,7 @@ def walk(text: str) -> Iterator[tuple[str, object]]:
                         inner = log.send(place)
                 except StopIteration:
                     # The object closed: behind its last value, or at once if it is empty.
-                    at = _behind(text, end if "end" in locals() else at + 1)
+                    at = _behind(text, at + 1 if end is None else end)
             else:
                 _, at = _value(text, at)
             try:
@@ -200,47 +201,67 @@ def decode(data: bytes) -> str:
 
 
 class HarPartition(InputPartition):
-    def __init__(self, path: str, capture_id: str) -> None:
+    def __init__(self, uri: str, capture_id: str) -> None:
         super().__init__(None)
-        self.path, self.capture_id = path, capture_id
+        self.uri, self.capture_id = uri, capture_id
 
 
-def _files(path: str) -> tuple[object, list[str]]:
+def _system(path: str) -> tuple[object, str]:
+    """The file system of a path or URI, without listing anything, and the path in it."""
     from pyarrow import fs
 
-    system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _files(path: str) -> list[str]:
+    """The files that a path names, in order of names: itself, those of a folder, or those that match it as a pattern."""
+    from pyarrow import fs
+
+    fixed, wild = path, ""
+    if m := re.search(r"[^/]*[*?\[]", path):
+        fixed, wild = path[: m.start()].rstrip("/") or "/", path[m.start() :]
+    system, root = _system(fixed)
+    # Names are passed on as they were given, so that a task opens the same file system.
+    given = lambda name: fixed.rstrip("/") + name[len(root.rstrip("/")) :]
     info = system.get_file_info(root)
     if info.type == fs.FileType.Directory:
-        found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        names = sorted(f.path for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._")
-        return system, names
-    if info.type == fs.FileType.NotFound:
-        raise FileNotFoundError("no capture at the path given")
-    return system, [root]
+        found = [f for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and f.base_name[0] not in "._"]
+        names = [given(f.path) for f in found]
+        if wild:
+            steps = wild.split("/")
+            inside = lambda name: name[len(fixed.rstrip("/")) + 1 :].split("/")
+            # A pattern names files, or folders of which all files are read.
+            names = [n for n in names if len(inside(n)) >= len(steps) and all(fnmatchcase(x, y) for x, y in zip(inside(n), steps, strict=False))]
+        if names or not wild:
+            return sorted(names)
+    elif info.type != fs.FileType.NotFound and not wild:
+        return [path]
+    raise FileNotFoundError("no capture at the path given")
 
 
 class HarReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.path, self.label = options.get("path"), options.get("capture_id", "capture")
-        if not self.path:
+        given = json.loads(options["paths"]) if options.get("paths") else [options.get("path")]
+        self.paths, self.label = [p for p in given if p], options.get("capture_id", "capture")
+        if not self.paths:
             raise ValueError("the capture source needs a path")
 
     def partitions(self) -> list[HarPartition]:
-        names = _files(self.path)[1]
+        names = sorted({name for path in self.paths for name in _files(path)})
         return [HarPartition(n, self.label if len(names) == 1 else f"{self.label}-{i:06d}") for i, n in enumerate(names)]
 
     def read(self, partition: HarPartition) -> Iterator[tuple]:
-        system = _files(self.path)[0]
-        with system.open_input_stream(partition.path) as f:
+        system, path = _system(partition.uri)
+        with system.open_input_stream(path) as f:
             data = f.read()
         yield from rows(decode(data), partition.capture_id)
 
 
 class HarDataSource(DataSource):
-    """``spark.read.format("har").option("capture_id", label).load(path)``: a file, or a folder of them, one capture a file and a task.
+    """``spark.read.format("har").option("capture_id", label).load(path)``: a file, a folder or a pattern, or a list of these, one capture a file and a task.
 
-    The label names the capture; in a folder the file's number in order of
-    names is added to it. File names are never passed on.
+    The label names the capture; where there are several files, a file's
+    number in order of names is added to it. File names are never passed on.
     """
 
     @classmethod
