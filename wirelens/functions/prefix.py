@@ -17,12 +17,28 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, chunk:
     """
     df = df.withColumn("_chunk", chunk)
     within = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    joined = _carried(df, keys, F.sum(value), F.sum("_total"))
+    return joined.withColumn(name, F.coalesce("_base", F.lit(0)) + F.sum(value).over(within)).drop("_base", "_chunk")
+
+
+def greatest_before(df: DataFrame, keys: list[str], order: list[str], value: Column, chunk: Column, name: str) -> DataFrame:
+    """Add ``name``: the greatest ``value`` of the rows of the same keys before this one, in order of ``order``; null at the first.
+
+    ``chunk`` must not fall as the order rises; a hot key is spread over its
+    chunks as in ``running_total``.
+    """
+    df = df.withColumn("_chunk", chunk)
+    within = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    joined = _carried(df, keys, F.max(value), F.max("_total"))
+    return joined.withColumn(name, F.greatest("_base", F.max(value).over(within))).drop("_base", "_chunk")
+
+
+def _carried(df: DataFrame, keys: list[str], total: Column, over: Column) -> DataFrame:
+    """Rows with what the chunks before theirs come to (``_base``), a row a chunk being summed along the key."""
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_total"))
-    base = totals.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_chunk")]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    joined = df.alias("l").join(base.alias("r"), on).select("l.*", "r._base")
-    return joined.withColumn(name, F.col("_base") + F.sum(value).over(within)).drop("_base", "_chunk")
+    totals = df.groupBy(*keys, "_chunk").agg(total.alias("_total"))
+    base = totals.withColumn("_base", over.over(before)).drop("_total")
+    on = F.lit(True)
+    for k in (*keys, "_chunk"):
+        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return df.alias("l").join(base.alias("r"), on).select("l.*", "r._base")

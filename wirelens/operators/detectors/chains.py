@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wirelens.operators.detectors.shape import finding, ordinals
+from wirelens.functions.prefix import greatest_before
+from wirelens.operators.detectors.shape import finding, hour, ordinals
 
 
 def chains(entries: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """The number of stretches, each from a start at which nothing before is still in flight."""
-    order = W.partitionBy("capture_id").orderBy("started", "entry_ix").rowsBetween(W.unboundedPreceding, -1)
-    timed = entries.where("started is not null and duration is not null").withColumn("_before", F.max(F.col("started") + F.col("duration")).over(order))
+    timed = entries.where("started is not null and duration is not null")
+    timed = greatest_before(timed, ["capture_id"], ["started", "entry_ix"], F.col("started") + F.col("duration"), hour(), "_before")
     first = timed.where(F.col("_before").isNull() | (F.col("started") > F.col("_before")))
     return finding(first.groupBy("capture_id").agg(F.count("*").alias("n"), ordinals().alias("at")), "chains", "stretches", count=F.col("n"), evidence=F.col("at"))

@@ -18,3 +18,8 @@ def finding(df: DataFrame, detector: str, metric: str, count: Column | None = No
 
 def ordinals(of: str = "entry_ix") -> Column:
     return F.sort_array(F.collect_list(of))
+
+
+def hour() -> Column:
+    """The hour in which an entry starts: the chunks that a capture is ordered in."""
+    return F.floor(F.unix_seconds("started") / F.lit(3600))

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wirelens.operators.detectors.shape import finding, ordinals
+from wirelens.functions.prefix import greatest_before
+from wirelens.operators.detectors.shape import finding, hour, ordinals
 
 
 def waves(entries: DataFrame, pages: DataFrame | None = None, limit: str = "INTERVAL '1' HOUR") -> DataFrame:
     """The number of waves, with the entry that begins each. A gap of exactly the limit begins none."""
-    order = W.partitionBy("capture_id").orderBy("started", "entry_ix")
-    marked = entries.where("started is not null").withColumn("_gap", F.col("started") - F.lag("started").over(order))
+    marked = greatest_before(entries.where("started is not null"), ["capture_id"], ["started", "entry_ix"], F.col("started"), hour(), "_last").withColumn("_gap", F.col("started") - F.col("_last"))
     first = marked.where(F.col("_gap").isNull() | (F.col("_gap") > F.expr(limit)))
     return finding(first.groupBy("capture_id").agg(F.count("*").alias("n"), ordinals().alias("at")), "waves", "waves", count=F.col("n"), evidence=F.col("at"))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelens import ANALYZER_VERSION
 from wirelens import operators as ops
 from wirelens.functions.columns import micros
 from wirelens.operators import detectors as d
@@ -47,7 +48,10 @@ def _shared(spark: SparkSession) -> str:
 
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return f"{sc.getCheckpointDir()}/wirelens-{uuid.uuid4().hex}"
 
 
@@ -236,6 +240,39 @@ def d11_version_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(ops.compare(_newer(_records(spark, sf_dir)), "click", "view", on_mismatch="flag"))
 
 
+@query(COMPARE_SQL.replace("{told}", "false").replace("{status}", "'truncated'"))
+def d10_compare_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One side's capture was cut short."""
+    records = _records(spark, sf_dir)
+    cut = records.withColumn("parse_status", F.when(F.col("run_id") == "view", "truncated").otherwise(F.col("parse_status")))
+    return _compared(ops.compare(cut, "click", "view"))
+
+
+@query("WITH " + METRICS_SQL + " SELECT kind, metric, CASE WHEN kind = 'count' THEN value END AS base, CASE WHEN kind = 'duration' THEN value END AS candidate, CAST(NULL AS BIGINT) AS delta, 'missing' AS status FROM m WHERE capture_id = CASE WHEN kind = 'count' THEN 'click' ELSE 'view' END")
+def d10_compare_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base has no durations, the candidate no counts."""
+    records = _records(spark, sf_dir)
+    none = lambda name, run: F.when(F.col("run_id") == run, F.array().cast(records.schema[name].dataType)).otherwise(F.col(name))
+    return _compared(ops.compare(records.withColumns({"durations": none("durations", "click"), "counts": none("counts", "view")}), "click", "view"))
+
+
+@query("WITH {ENTRIES}" + """, edges AS (SELECT capture_id, st AS tm, 1 AS d FROM t WHERE us > 0 UNION ALL SELECT capture_id, en, -1 FROM t WHERE us > 0),
+    run AS (SELECT capture_id, sum(d) OVER (PARTITION BY capture_id ORDER BY tm, d ROWS UNBOUNDED PRECEDING) AS flying FROM edges),
+    top AS (SELECT capture_id, ix, us, rank() OVER (PARTITION BY capture_id ORDER BY us DESC) AS r FROM e WHERE us IS NOT NULL),
+    f AS (SELECT capture_id, 'volume' AS detector, 'requests' AS metric, count(*) AS value, '' AS evidence FROM e GROUP BY 1
+        UNION ALL SELECT capture_id, 'payload', 'content_bytes', CAST(sum(size) AS BIGINT), '' FROM e GROUP BY 1
+        UNION ALL SELECT capture_id, 'ceiling', 'peak', CAST(max(flying) AS BIGINT), '' FROM run GROUP BY 1
+        UNION ALL SELECT capture_id, 'slowest', 'longest', max(us), string_agg(ix::VARCHAR, ',' ORDER BY ix) FROM top WHERE r = 1 GROUP BY 1)
+    SELECT capture_id AS run_id, 1 AS schema_version, '{analyzer}' AS analyzer_version, 'complete' AS parse_status, detector, metric, value, evidence FROM f
+""".replace("{analyzer}", ANALYZER_VERSION))
+def d9_record_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that records hold, with the records' stamps."""
+    found = _records(spark, sf_dir).select("run_id", "schema_version", "analyzer_version", "parse_status", F.explode("findings").alias("f"))
+    evidence = F.array_join(F.transform("f.evidence", lambda x: x["entry_ix"].cast("string")), ",")
+    value = F.coalesce("f.value_count", micros("f.value_duration"))
+    return found.select("run_id", F.col("schema_version").cast("int").alias("schema_version"), "analyzer_version", "parse_status", "f.detector", "f.metric", value.alias("value"), evidence.alias("evidence"))
+
+
 @query(COMPARE_SQL.replace("{told}", "kind = 'count'").replace("{status}", "CASE WHEN kind = 'count' THEN 'ok' ELSE 'environment' END"))
 def d12_environment_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir)

@@ -54,15 +54,12 @@ def capture_text(rows: list[dict], cut: bool = False) -> str:
 
 
 def write_captures(spark: SparkSession, sf_dir: str, folder: str, cut: bool = False) -> None:
-    """The events of each type as a capture file in ``folder``, written by the task that holds them."""
+    """The events of each type as a capture file in ``folder``: one pass, each file written by the task that holds its type."""
     events = table(spark, sf_dir, "events").where("ts is not null and value is not null and props is not null")
 
     def made(key: tuple, rows: pa.Table) -> pa.Table:
-        return pa.table({"value": [capture_text(rows.sort_by("event_id").to_pylist(), cut)]})
-
-    # One file a type: a text row a file, types in order, so captures are numbered by type.
-    texts = events.withColumn("t", F.col("event_type")).groupBy("t").applyInArrow(made, "value string")
-    names = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # the few capture labels
-    for i, name in enumerate(names):
-        one = texts.where(F.contains("value", F.lit(f"https://{name}.example.com/")))
-        one.coalesce(1).write.mode("overwrite").text(f"{folder}/{i:03d}")
+        return pa.table({"t": [key[0]], "value": [capture_text(rows.sort_by("event_id").to_pylist(), cut)]})
+
+    # A text row a type and a folder a type, so that a folder's files are in order of types.
+    texts = events.withColumn("t", F.col("event_type")).groupBy("t").applyInArrow(made, "t string, value string")
+    texts.write.mode("overwrite").partitionBy("t").text(folder)
