@@ -78,6 +78,18 @@ def by_bytes(part: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Record
         a = z
 
 
+def least_count(counts: DataFrame, most: int, n: str = "n") -> int:
+    """The least count from which on there are ``most`` rows or fewer; the driver sees a histogram of some hundred bars at most."""
+    bar = F.floor(F.log2(n) * 8)
+    held, least = 0, 1 << 62
+    for r in counts.groupBy(bar.alias("bar")).agg(F.count("*").alias("rows"), F.min(n).alias("least")).orderBy(F.desc("bar")).collect():
+        held += r["rows"]
+        if held > most:
+            break
+        least = r["least"]
+    return least
+
+
 def remainder(doc_id: int | None, n: int) -> int:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n

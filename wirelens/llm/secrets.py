@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import batches
+from wirelens.llm.common import batches, least_count, save
 
 #: Fixed patterns and least lengths, in the order in which kinds are listed.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -127,7 +127,7 @@ def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = MOST
     """The identifiers that most texts hold, the most frequent last, where a compressor finds them nearest, behind the fixed ones.
 
     All texts are counted; tasks count their own texts before anything moves,
-    and the driver gets ``most`` words.
+    and the driver gets ``most`` words or fewer, those from some count on.
     """
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
@@ -142,7 +142,8 @@ def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = MOST
         yield from batches(held.items(), schema)
 
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    found = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = save(counted)
+    found = [r["word"] for r in sorted(counted.where(F.col("n") >= least_count(counted, most)).collect(), key=lambda r: (-r["n"], r["word"]))]
     return " ".join([IDENTIFIERS, *reversed(found)])
 
 
