@@ -82,6 +82,20 @@ def test_detectors(spark):
     assert d.detect(table(spark, [])).count() == 0
 
 
+def test_evidence_is_bounded_and_its_rows_whole(spark):
+    df = table(spark, [("a", 7200 * k, 1, 5) for k in range(12)] + [("b", 0, 1, 6)])
+    for f in (d.waves, d.chains, d.errors, d.duplicates, d.slowest):
+        found = {r.capture_id: r for r in f(df, most=4).collect()}["a"]
+        assert [x.entry_ix for x in found.evidence] == [0, 1, 2, 3] and found.value_count in (12, None)
+    rows = sorted(tuple(r) for r in d.evidence_rows(df).where("capture_id = 'a'").collect())
+    assert rows == sorted(("a", name, k) for name in ("errors", "waves", "chains") for k in range(12))
+    assert "WindowGroupLimit" in d.errors(df)._jdf.queryExecution().executedPlan().toString()  # cut down before the shuffle
+    assert "WindowGroupLimit" in d.slowest(df)._jdf.queryExecution().executedPlan().toString()
+    # Null keys are groups as well.
+    keyless = df.selectExpr("cast(null as string) capture_id", *df.columns[1:])
+    assert [(r.value_count, len(r.evidence)) for r in d.errors(keyless).collect()] == [(12, 12)]
+
+
 def record(run, **changes):
     made = {"run_id": run, "schema_version": 1, "analyzer_version": "1.0", "environment": "lab", "parse_status": "complete", "counts": [("m", 3), (f"only_{run}", 1)], "durations": [("d", timedelta(seconds=2))], "findings": []}
     return tuple((made | changes)[f.name] for f in RUN_RECORDS)
@@ -107,6 +121,13 @@ def test_gates(spark, changes, mismatch, count, duration):
         assert got["only_a"].status == got["only_b"].status == "missing" and got["only_a"].delta_count is None
 
 
+def test_a_run_id_that_occurs_twice(spark):
+    status = lambda *rows: {(r.metric, r.status, r.base_count) for r in ops.compare(spark.createDataFrame(rows, RUN_RECORDS), "a", "b").collect() if r.metric == "m"}
+    assert status(record("a"), record("a"), record("b")) == {("m", "ok", 3)}
+    assert status(record("a"), record("a", counts=[("m", 4)]), record("b")) == {("m", "ambiguous", 4)}
+    assert status(record("a"), record("b"), record("b", environment="field")) == {("m", "ambiguous", 3)}
+
+
 def test_gate_needs_a_known_choice(spark):
     with pytest.raises(ValueError):
         ops.compare(spark.createDataFrame([], RUN_RECORDS), "a", "b", "ignore")

@@ -17,7 +17,9 @@ def exploded(runs: DataFrame) -> DataFrame:
 def compare(history: DataFrame, base: str, candidate: str, on_mismatch: str = "refuse") -> DataFrame:
     """Every metric of either run: both values, delta and status.
 
-    Status, the first that holds: ``refused`` or ``flagged`` where the
+    Status, the first that holds: ``ambiguous`` where the history holds
+    records of either run id with different stamps or metrics (equal ones count once, and of different
+    ones each metric's greatest value is shown); ``refused`` or ``flagged`` where the
     analyzer versions differ (``on_mismatch``), ``refused`` where schemas do;
     ``missing`` where a side has no such metric; ``truncated`` where a side's
     capture is not complete, so that its counts are lower bounds;
@@ -27,16 +29,18 @@ def compare(history: DataFrame, base: str, candidate: str, on_mismatch: str = "r
     if on_mismatch not in ("refuse", "flag"):
         raise ValueError("on_mismatch is 'refuse' or 'flag'")
     # The run's stamps are read by themselves, as a run may have no metric to carry them.
-    stamps = history.where(F.col("run_id").isin(base, candidate)).select("run_id", "schema_version", "analyzer_version", "environment", "parse_status")
-    pick = lambda run, name: F.max(F.when(F.col("run_id") == run, F.col(name)))
+    stamps = history.where(F.col("run_id").isin(base, candidate)).select("run_id", "schema_version", "analyzer_version", "environment", "parse_status", F.xxhash64("schema_version", "analyzer_version", "environment", "parse_status", "counts", "durations").alias("record"))
+    pick = lambda run, name, of=F.max: of(F.when(F.col("run_id") == run, F.col(name)))
     names = ("schema_version", "analyzer_version", "environment", "parse_status")
-    pair = stamps.agg(*(pick(base, n).alias(f"a_{n}") for n in names), *(pick(candidate, n).alias(f"b_{n}") for n in names))
-    sides = [exploded(history.where(F.col("run_id") == run)).select("kind", "metric", F.col("value_count").alias(f"{s}_count"), F.col("value_duration").alias(f"{s}_duration")) for run, s in ((base, "base"), (candidate, "candidate"))]
-    both = sides[0].join(sides[1], ["kind", "metric"], "full").join(F.broadcast(pair))  # one row
+    several = (F.coalesce(pick(run, "record", F.min) != pick(run, "record"), F.lit(False)).alias(f"{s}_several") for run, s in ((base, "a"), (candidate, "b")))
+    pair = stamps.agg(*(pick(base, n).alias(f"a_{n}") for n in names), *(pick(candidate, n).alias(f"b_{n}") for n in names), *several)
+    side = lambda run, s: exploded(history.where(F.col("run_id") == run)).groupBy("kind", "metric").agg(F.max("value_count").alias(f"{s}_count"), F.max("value_duration").alias(f"{s}_duration"))
+    both = side(base, "base").join(side(candidate, "candidate"), ["kind", "metric"], "full").join(F.broadcast(pair))  # one row
     differ = lambda n: ~F.col(f"a_{n}").eqNullSafe(F.col(f"b_{n}"))
     gone = lambda s: F.col(f"{s}_count").isNull() & F.col(f"{s}_duration").isNull()
     status = (
-        F.when(differ("schema_version"), "refused")
+        F.when(F.col("a_several") | F.col("b_several"), "ambiguous")
+        .when(differ("schema_version"), "refused")
         .when(differ("analyzer_version") & F.lit(on_mismatch == "refuse"), "refused")
         .when(gone("base") | gone("candidate"), "missing")
         .when((F.col("a_parse_status") != "complete") | (F.col("b_parse_status") != "complete"), "truncated")

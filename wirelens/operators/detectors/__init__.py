@@ -10,17 +10,18 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wirelens.operators.detectors.ceiling import ceiling
-from wirelens.operators.detectors.chains import chains
+from wirelens.operators.detectors.chains import chains, stretch_starts
 from wirelens.operators.detectors.duplicates import duplicates
-from wirelens.operators.detectors.errors import errors
+from wirelens.operators.detectors.errors import errors, failed
 from wirelens.operators.detectors.heaviest import heaviest
 from wirelens.operators.detectors.idle import idle
 from wirelens.operators.detectors.payload import payload
 from wirelens.operators.detectors.slowest import slowest
 from wirelens.operators.detectors.volume import volume
-from wirelens.operators.detectors.waves import waves
+from wirelens.operators.detectors.waves import wave_starts, waves
 
 Detector = Callable[[DataFrame, DataFrame | None], DataFrame]
 
@@ -32,3 +33,9 @@ EXTENSIONS: tuple[Detector, ...] = (duplicates, waves, chains, idle, errors, hea
 def detect(entries: DataFrame, pages: DataFrame | None = None, detectors: tuple[Detector, ...] = DECLARED) -> DataFrame:
     """All findings of the detectors."""
     return reduce(DataFrame.unionByName, (d(entries, pages) for d in detectors))
+
+
+def evidence_rows(entries: DataFrame) -> DataFrame:
+    """All evidence of the detectors errors, waves and chains, without a limit: capture_id, detector, entry_ix, a row each."""
+    found = {"errors": failed(entries), "waves": wave_starts(entries), "chains": stretch_starts(entries)}
+    return reduce(DataFrame.unionByName, (rows.select("capture_id", F.lit(name).alias("detector"), "entry_ix") for name, rows in found.items()))

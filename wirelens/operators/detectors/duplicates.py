@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.operators.detectors.shape import finding, ordinals
+from wirelens.operators.detectors.shape import MOST_EVIDENCE, finding, with_evidence
 
+SAME = ("capture_id", "method", "host", "path_template", "content_bytes")
 
-def duplicates(entries: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """A finding per group of two or more: its number of requests."""
-    groups = entries.where("host is not null").groupBy("capture_id", "method", "host", "path_template", "content_bytes").agg(F.count("*").alias("n"), ordinals().alias("at"))
-    return finding(groups.where("n > 1"), "duplicates", "repeats", count=F.col("n"), evidence=F.col("at"))
+
+def duplicates(entries: DataFrame, pages: DataFrame | None = None, most: int = MOST_EVIDENCE) -> DataFrame:
+    """A finding per group of two or more: its number of requests. Entries without a host belong to none."""
+    known = entries.where("host is not null")
+    groups = known.groupBy(*SAME).agg(F.count("*").alias("n")).where("n > 1")
+    return finding(with_evidence(groups, known, SAME, most), "duplicates", "repeats", count=F.col("n"), evidence=F.col("at"))

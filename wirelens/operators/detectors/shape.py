@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wirelens.schema import FINDINGS
 
+#: A finding holds so many ordinals at most, the first ones, since a capture may be of any size; its value counts all, and ``evidence_rows`` gives all as a table.
+#: From 1,000 on, Spark no longer cuts the rows down before it shuffles them.
+MOST_EVIDENCE = 999
+
 
 def finding(df: DataFrame, detector: str, metric: str, count: Column | None = None, duration: Column | None = None, evidence: Column | None = None) -> DataFrame:
     """Findings of ``df``, one a row; evidence is an array of entry ordinals."""
@@ -16,8 +23,13 @@ def finding(df: DataFrame, detector: str, metric: str, count: Column | None = No
     return df.select(*columns, ordinals.cast(FINDINGS["evidence"].dataType).alias("evidence"))
 
 
-def ordinals(of: str = "entry_ix") -> Column:
-    return F.sort_array(F.collect_list(of))
+def with_evidence(values: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("capture_id",), most: int = MOST_EVIDENCE) -> DataFrame:
+    """``values``, a row a group, with ``at``: the first ``most`` ordinals of the group's ``rows``. Each task sends ``most`` rows of a group at most."""
+    order = W.partitionBy(*keys).orderBy("entry_ix")
+    first = rows.select(*keys, "entry_ix", F.row_number().over(order).alias("_r")).where(F.col("_r") <= most)
+    first = first.groupBy(*keys).agg(F.sort_array(F.collect_list("entry_ix")).alias("at"))
+    same = reduce(Column.__and__, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
+    return values.alias("l").join(first.alias("r"), same, "left").select("l.*", F.coalesce("r.at", F.array().cast("array<int>")).alias("at"))
 
 
 def hour() -> Column:

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wirelens.operators.detectors.shape import finding, ordinals
+from wirelens.operators.detectors.shape import MOST_EVIDENCE, finding
 
 
-def slowest(entries: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    top = entries.where("duration is not null").withColumn("_r", F.rank().over(W.partitionBy("capture_id").orderBy(F.col("duration").desc()))).where("_r = 1")
-    return finding(top.groupBy("capture_id").agg(F.max("duration").alias("longest"), ordinals().alias("at")), "slowest", "longest", duration=F.col("longest"), evidence=F.col("at"))
+def slowest(entries: DataFrame, pages: DataFrame | None = None, most: int = MOST_EVIDENCE) -> DataFrame:
+    """A finding per capture with a measured request. Each task sends ``most`` entries of a capture at most."""
+    order = W.partitionBy("capture_id").orderBy(F.col("duration").desc(), "entry_ix")
+    top = entries.where("duration is not null").select("capture_id", "duration", "entry_ix", F.row_number().over(order).alias("_r")).where(F.col("_r") <= most)
+    found = top.groupBy("capture_id").agg(F.max("duration").alias("longest"), F.collect_list(F.struct("duration", "entry_ix")).alias("held"))
+    at = F.sort_array(F.transform(F.filter("held", lambda x: x["duration"] == F.col("longest")), lambda x: x["entry_ix"]))
+    return finding(found, "slowest", "longest", duration=F.col("longest"), evidence=at)

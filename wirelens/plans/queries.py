@@ -129,14 +129,14 @@ def _findings(found: DataFrame) -> DataFrame:
     SELECT capture_id, 'volume' AS detector, 'requests' AS metric, count(*) AS value_count, CAST(NULL AS BIGINT) AS value_us, '' AS evidence FROM e GROUP BY 1
     UNION ALL SELECT capture_id, 'payload', 'content_bytes', CAST(sum(size) AS BIGINT), NULL, '' FROM e GROUP BY 1
     UNION ALL SELECT capture_id, 'ceiling', 'peak', CAST(max(flying) AS BIGINT), NULL, '' FROM run GROUP BY 1
-    UNION ALL SELECT capture_id, 'slowest', 'longest', NULL, max(us), string_agg(ix::VARCHAR, ',' ORDER BY ix) FROM top WHERE r = 1 GROUP BY 1
+    UNION ALL SELECT capture_id, 'slowest', 'longest', NULL, max(us), array_to_string(list(ix::VARCHAR ORDER BY ix)[1:999], ',') FROM top WHERE r = 1 GROUP BY 1
 """)
 def d8_declared_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(d.detect(standins.entries(spark, sf_dir)))
 
 
 @query("""
-    WITH {ENTRIES} SELECT capture_id, 'duplicates' AS detector, 'repeats' AS metric, count(*) AS value_count, CAST(NULL AS BIGINT) AS value_us, string_agg(ix::VARCHAR, ',' ORDER BY ix) AS evidence
+    WITH {ENTRIES} SELECT capture_id, 'duplicates' AS detector, 'repeats' AS metric, count(*) AS value_count, CAST(NULL AS BIGINT) AS value_us, array_to_string(list(ix::VARCHAR ORDER BY ix)[1:999], ',') AS evidence
     FROM e GROUP BY capture_id, event_type, user_id, size HAVING count(*) > 1
 """)
 def d8_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def d8_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH {ENTRIES}, g AS (SELECT *, st - lag(st) OVER (PARTITION BY capture_id ORDER BY st, ix) AS gap FROM e)
-    SELECT capture_id, 'waves' AS detector, 'waves' AS metric, count(*) AS value_count, CAST(NULL AS BIGINT) AS value_us, string_agg(ix::VARCHAR, ',' ORDER BY ix) AS evidence
+    SELECT capture_id, 'waves' AS detector, 'waves' AS metric, count(*) AS value_count, CAST(NULL AS BIGINT) AS value_us, array_to_string(list(ix::VARCHAR ORDER BY ix)[1:999], ',') AS evidence
     FROM g WHERE gap IS NULL OR gap > 3600000000 GROUP BY 1
 """, "user_id::VARCHAR")
 def d8_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ def d8_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH {ENTRIES}, g AS (SELECT *, max(en) OVER (PARTITION BY capture_id ORDER BY st, ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM t WHERE us IS NOT NULL)
-    SELECT capture_id, 'chains' AS detector, 'stretches' AS metric, count(*) AS value_count, CAST(NULL AS BIGINT) AS value_us, string_agg(ix::VARCHAR, ',' ORDER BY ix) AS evidence
+    SELECT capture_id, 'chains' AS detector, 'stretches' AS metric, count(*) AS value_count, CAST(NULL AS BIGINT) AS value_us, array_to_string(list(ix::VARCHAR ORDER BY ix)[1:999], ',') AS evidence
     FROM g WHERE b IS NULL OR st > b GROUP BY 1
 """, "user_id::VARCHAR")
 def d8_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ def d8_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH {ENTRIES} SELECT capture_id, 'errors' AS detector, 'failed' AS metric, count(*) FILTER (WHERE event_type = 'error') AS value_count, CAST(NULL AS BIGINT) AS value_us,
-    coalesce(string_agg(ix::VARCHAR, ',' ORDER BY ix) FILTER (WHERE event_type = 'error'), '') AS evidence FROM e GROUP BY 1
+    coalesce(array_to_string((list(ix::VARCHAR ORDER BY ix) FILTER (WHERE event_type = 'error'))[1:999], ','), '') AS evidence FROM e GROUP BY 1
 """, "user_id::VARCHAR")
 def d8_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(d.errors(standins.entries(spark, sf_dir, "user_id")))
@@ -185,6 +185,17 @@ def d8_heaviest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(d.heaviest(standins.entries(spark, sf_dir, "user_id")))
 
 
+@query("""
+    WITH {ENTRIES}, g AS (SELECT *, st - lag(st) OVER w AS gap FROM e WINDOW w AS (PARTITION BY capture_id ORDER BY st, ix)),
+    h AS (SELECT *, max(en) OVER (PARTITION BY capture_id ORDER BY st, ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM t WHERE us IS NOT NULL)
+    SELECT capture_id, 'errors' AS detector, ix AS entry_ix FROM e WHERE event_type = 'error'
+    UNION ALL SELECT capture_id, 'waves', ix FROM g WHERE gap IS NULL OR gap > 3600000000
+    UNION ALL SELECT capture_id, 'chains', ix FROM h WHERE b IS NULL OR st > b
+""")
+def d8_evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.evidence_rows(standins.entries(spark, sf_dir)).withColumn("entry_ix", F.col("entry_ix").cast("long"))
+
+
 def _records(spark: SparkSession, sf_dir: str, environment: str = "test") -> DataFrame:
     entries = standins.entries(spark, sf_dir)
     captures = entries.groupBy("capture_id").agg(F.lit("1.2").alias("har_version"), F.count("*").alias("n_entries"), F.lit(0).cast("long").alias("n_pages"), F.lit("complete").alias("parse_status"))
@@ -262,7 +273,7 @@ def d10_compare_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     f AS (SELECT capture_id, 'volume' AS detector, 'requests' AS metric, count(*) AS value, '' AS evidence FROM e GROUP BY 1
         UNION ALL SELECT capture_id, 'payload', 'content_bytes', CAST(sum(size) AS BIGINT), '' FROM e GROUP BY 1
         UNION ALL SELECT capture_id, 'ceiling', 'peak', CAST(max(flying) AS BIGINT), '' FROM run GROUP BY 1
-        UNION ALL SELECT capture_id, 'slowest', 'longest', max(us), string_agg(ix::VARCHAR, ',' ORDER BY ix) FROM top WHERE r = 1 GROUP BY 1)
+        UNION ALL SELECT capture_id, 'slowest', 'longest', max(us), array_to_string(list(ix::VARCHAR ORDER BY ix)[1:999], ',') FROM top WHERE r = 1 GROUP BY 1)
     SELECT capture_id AS run_id, 1 AS schema_version, '{analyzer}' AS analyzer_version, 'complete' AS parse_status, detector, metric, value, evidence FROM f
 """.replace("{analyzer}", ANALYZER_VERSION))
 def d9_record_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
