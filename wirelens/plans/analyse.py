@@ -23,7 +23,7 @@ class Analysis:
 
 def analyse(spark: SparkSession, path: str, label: str = "capture", detectors: tuple[Detector, ...] = DECLARED) -> Analysis:
     """Read the captures at ``path`` (see ``wirelens.session.configure``), normalise and detect."""
-    captures, entries, pages = ops.normalise(spark.read.format("har").option("capture_id", label).load(path))
+    captures, entries, pages = ops.normalise(lambda: spark.read.format("har").option("capture_id", label).option("pushdown", "true").load(path))
     return Analysis(captures, entries, pages, detect(entries, pages, detectors))
 
 

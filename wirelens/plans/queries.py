@@ -294,11 +294,11 @@ def d12_environment_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _parsed(spark: SparkSession, sf_dir: str, cut: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     folder = _shared(spark)
     standins.write_captures(spark, sf_dir, folder, cut)
-    return ops.normalise(configure(spark).read.format("har").option("capture_id", "c").load(folder))
+    return ops.normalise(lambda: configure(spark).read.format("har").option("capture_id", "c").option("pushdown", "true").load(folder))
 
 
 PARSED_SQL = """
-    WITH x AS (SELECT *, dense_rank() OVER (ORDER BY event_type) - 1 AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS back FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND props IS NOT NULL)
+    WITH x AS (SELECT *, dense_rank() OVER (ORDER BY event_type, event_id // 4096) - 1 AS k, row_number() OVER (PARTITION BY event_type, event_id // 4096 ORDER BY event_id DESC) AS back FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND props IS NOT NULL)
     SELECT 'c-' || lpad(k::VARCHAR, 6, '0') AS capture_id, '{status}' AS parse_status, count(*) AS n_entries, 1::BIGINT AS n_pages, event_type || '.example.com' AS host, CAST(sum(length(props)) AS BIGINT) AS bytes,
     CAST(sum(CAST(round(value * 100) AS BIGINT) * 600000) AS BIGINT) AS total_us, min(ts) AS first_started FROM x WHERE {kept} GROUP BY k, event_type
 """

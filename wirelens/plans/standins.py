@@ -53,13 +53,18 @@ def capture_text(rows: list[dict], cut: bool = False) -> str:
     return text[: text.rindex('"timings"')] if cut else text
 
 
+#: Events of a capture: so a file, and the task that makes it, has a bound.
+BLOCK = 4096
+
+
 def write_captures(spark: SparkSession, sf_dir: str, folder: str, cut: bool = False) -> None:
-    """The events of each type as a capture file in ``folder``: one pass, each file written by the task that holds its type."""
+    """The events of each type and block of ids as a capture file in ``folder``: one pass, each file written by the task that holds its block."""
     events = table(spark, sf_dir, "events").where("ts is not null and value is not null and props is not null")
 
     def made(key: tuple, rows: pa.Table) -> pa.Table:
-        return pa.table({"t": [key[0]], "value": [capture_text(rows.sort_by("event_id").to_pylist(), cut)]})
+        return pa.table({"t": [key[0]], "b": [key[1]], "value": [capture_text(rows.sort_by("event_id").to_pylist(), cut)]})
 
-    # A text row a type and a folder a type, so that a folder's files are in order of types.
-    texts = events.withColumn("t", F.col("event_type")).groupBy("t").applyInArrow(made, "t string, value string")
-    texts.write.mode("overwrite").partitionBy("t").text(folder)
+    # A text row and a folder a capture, so that files are in order of types and blocks.
+    block = F.lpad(F.floor(F.col("event_id") / BLOCK).cast("string"), 12, "0")
+    texts = events.withColumn("t", F.col("event_type")).withColumn("b", block).groupBy("t", "b").applyInArrow(made, "t string, b string, value string")
+    texts.write.mode("overwrite").partitionBy("t", "b").text(folder)

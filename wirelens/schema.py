@@ -12,10 +12,10 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields])
 
 
-#: What the capture source gives: one row a capture, page or entry, with allowed fields only.
+#: What the capture source gives: one row a capture, page or entry, with allowed fields only. A capture's row alone has its status and version.
 RAW = _struct(
     ("capture_id", T.StringType()), ("kind", T.StringType()), ("ix", T.IntegerType()), ("parse_status", T.StringType()), ("har_version", T.StringType()),
-    ("page_ix", T.IntegerType()), ("started", T.StringType()), ("time_ms", T.DoubleType()), ("method", T.StringType()), ("host", T.StringType()), ("path_template", T.StringType()),
+    ("page_key", T.LongType()), ("started", T.StringType()), ("time_ms", T.DoubleType()), ("method", T.StringType()), ("host", T.StringType()), ("path_template", T.StringType()),
     ("status", T.IntegerType()), ("mime_class", T.StringType()), ("request_body_bytes", T.LongType()), ("response_body_bytes", T.LongType()), ("content_bytes", T.LongType()),
     ("phases_ms", T.MapType(T.StringType(), T.DoubleType())), ("on_content_load_ms", T.DoubleType()), ("on_load_ms", T.DoubleType()),
 )
