@@ -87,10 +87,12 @@ def test_evidence_is_bounded_and_its_rows_whole(spark):
     for f in (d.waves, d.chains, d.errors, d.duplicates, d.slowest):
         found = {r.capture_id: r for r in f(df, most=4).collect()}["a"]
         assert [x.entry_ix for x in found.evidence] == [0, 1, 2, 3] and found.value_count in (12, None)
-    rows = sorted(tuple(r) for r in d.evidence_rows(df).where("capture_id = 'a'").collect())
-    assert rows == sorted(("a", name, k) for name in ("errors", "waves", "chains") for k in range(12))
+    rows = sorted((tuple(r) for r in d.evidence_rows(df).where("capture_id = 'a'").collect()), key=str)
+    assert rows == sorted((("a", name, k, 0 if name == "duplicates" else None) for name in ("errors", "waves", "chains", "duplicates", "slowest") for k in range(12)), key=str)
     assert "WindowGroupLimit" in d.errors(df)._jdf.queryExecution().executedPlan().toString()  # cut down before the shuffle
     assert "WindowGroupLimit" in d.slowest(df)._jdf.queryExecution().executedPlan().toString()
+    two = d.evidence_rows(table(spark, [("a", k, k // 4, k // 3) for k in range(9)])).where("detector in ('slowest', 'duplicates')")
+    assert {tuple(r) for r in two.collect()} == {("a", "slowest", 8, None), *(("a", "duplicates", k, k // 3 * 3) for k in range(9))}
     # Null keys are groups as well.
     keyless = df.selectExpr("cast(null as string) capture_id", *df.columns[1:])
     assert [(r.value_count, len(r.evidence)) for r in d.errors(keyless).collect()] == [(12, 12)]

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from wirelens.operators.detectors.ceiling import ceiling
 from wirelens.operators.detectors.chains import chains, stretch_starts
-from wirelens.operators.detectors.duplicates import duplicates
+from wirelens.operators.detectors.duplicates import duplicates, repeated
 from wirelens.operators.detectors.errors import errors, failed
 from wirelens.operators.detectors.heaviest import heaviest
 from wirelens.operators.detectors.idle import idle
 from wirelens.operators.detectors.payload import payload
-from wirelens.operators.detectors.slowest import slowest
+from wirelens.operators.detectors.slowest import longest, slowest
 from wirelens.operators.detectors.volume import volume
 from wirelens.operators.detectors.waves import wave_starts, waves
 
@@ -36,6 +36,13 @@ def detect(entries: DataFrame, pages: DataFrame | None = None, detectors: tuple[
 
 
 def evidence_rows(entries: DataFrame) -> DataFrame:
-    """All evidence of the detectors errors, waves and chains, without a limit: capture_id, detector, entry_ix, a row each."""
-    found = {"errors": failed(entries), "waves": wave_starts(entries), "chains": stretch_starts(entries)}
-    return reduce(DataFrame.unionByName, (rows.select("capture_id", F.lit(name).alias("detector"), "entry_ix") for name, rows in found.items()))
+    """All evidence, without a limit: capture_id, detector, entry_ix, of, a row each.
+
+    ``of`` is the first ordinal of the finding that a row belongs to, for
+    duplicates, of which a capture may have many findings; null for errors,
+    waves, chains and slowest, of which it has one.
+    """
+    none = F.lit(None).cast("int")
+    found = {"errors": failed(entries), "waves": wave_starts(entries), "chains": stretch_starts(entries), "slowest": longest(entries)}
+    rows = [rows.select("capture_id", F.lit(name).alias("detector"), "entry_ix", none.alias("of")) for name, rows in found.items()]
+    return reduce(DataFrame.unionByName, [*rows, repeated(entries).select("capture_id", F.lit("duplicates").alias("detector"), "entry_ix", F.col("of").cast("int").alias("of"))])

@@ -28,8 +28,12 @@ def with_evidence(values: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("
     order = W.partitionBy(*keys).orderBy("entry_ix")
     first = rows.select(*keys, "entry_ix", F.row_number().over(order).alias("_r")).where(F.col("_r") <= most)
     first = first.groupBy(*keys).agg(F.sort_array(F.collect_list("entry_ix")).alias("at"))
-    same = reduce(Column.__and__, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
-    return values.alias("l").join(first.alias("r"), same, "left").select("l.*", F.coalesce("r.at", F.array().cast("array<int>")).alias("at"))
+    return values.alias("l").join(first.alias("r"), same(keys), "left").select("l.*", F.coalesce("r.at", F.array().cast("array<int>")).alias("at"))
+
+
+def same(keys: tuple[str, ...]) -> Column:
+    """Whether the sides named l and r have the same keys; nulls are alike."""
+    return reduce(Column.__and__, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
 
 
 def hour() -> Column:

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wirelens.operators.detectors.shape import MOST_EVIDENCE, finding
+from wirelens.operators.detectors.shape import MOST_EVIDENCE, finding, same
+
+
+def longest(entries: DataFrame) -> DataFrame:
+    """Every entry that took as long as the longest of its capture: capture_id, entry_ix."""
+    most = entries.where("duration is not null").groupBy("capture_id").agg(F.max("duration").alias("duration"))
+    return entries.alias("l").join(most.alias("r"), same(("capture_id",)) & (F.col("l.duration") == F.col("r.duration"))).select("l.capture_id", "l.entry_ix")
 
 
 def slowest(entries: DataFrame, pages: DataFrame | None = None, most: int = MOST_EVIDENCE) -> DataFrame:

@@ -20,6 +20,8 @@ from wirelens.operators.compare import exploded
 from wirelens.plans import standins
 from wirelens.plans.analyse import count_metrics, duration_metrics
 from wirelens.session import configure
+from wirelens.sources import history
+from wirelens.streaming.sessions import session_stream, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,12 +190,14 @@ def d8_heaviest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH {ENTRIES}, g AS (SELECT *, st - lag(st) OVER w AS gap FROM e WINDOW w AS (PARTITION BY capture_id ORDER BY st, ix)),
     h AS (SELECT *, max(en) OVER (PARTITION BY capture_id ORDER BY st, ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM t WHERE us IS NOT NULL)
-    SELECT capture_id, 'errors' AS detector, ix AS entry_ix FROM e WHERE event_type = 'error'
-    UNION ALL SELECT capture_id, 'waves', ix FROM g WHERE gap IS NULL OR gap > 3600000000
-    UNION ALL SELECT capture_id, 'chains', ix FROM h WHERE b IS NULL OR st > b
+    SELECT capture_id, 'errors' AS detector, ix AS entry_ix, CAST(NULL AS BIGINT) AS "of" FROM e WHERE event_type = 'error'
+    UNION ALL SELECT capture_id, 'waves', ix, NULL FROM g WHERE gap IS NULL OR gap > 3600000000
+    UNION ALL SELECT capture_id, 'chains', ix, NULL FROM h WHERE b IS NULL OR st > b
+    UNION ALL SELECT capture_id, 'slowest', ix, NULL FROM (SELECT *, max(us) OVER (PARTITION BY capture_id) AS most FROM e) WHERE us = most
+    UNION ALL SELECT capture_id, 'duplicates', ix, first FROM (SELECT *, count(*) OVER w AS n, min(ix) OVER w AS first FROM e WINDOW w AS (PARTITION BY capture_id, event_type, user_id, size)) WHERE n > 1
 """)
 def d8_evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.evidence_rows(standins.entries(spark, sf_dir)).withColumn("entry_ix", F.col("entry_ix").cast("long"))
+    return d.evidence_rows(standins.entries(spark, sf_dir)).withColumns({c: F.col(c).cast("long") for c in ("entry_ix", "of")})
 
 
 def _records(spark: SparkSession, sf_dir: str, environment: str = "test") -> DataFrame:
@@ -221,6 +225,44 @@ def d9_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(_records(spark, sf_dir)).select("run_id", "environment", "kind", "metric", F.coalesce("value_count", micros("value_duration")).alias("value"))
 
 
+@query("WITH " + METRICS_SQL + " SELECT capture_id AS run_id, 'test' AS environment, kind, metric, value FROM m")
+def d9_history_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of a history to which half of them were appended first, and then all."""
+    folder = _shared(spark)
+    made = _records(spark, sf_dir)
+    history.append(made.where("run_id < 'm'"), folder)
+    history.append(made, folder)
+    return exploded(history.read(spark, folder)).select("run_id", "environment", "kind", "metric", F.coalesce("value_count", micros("value_duration")).alias("value"))
+
+
+SESSIONS_SQL = """
+    WITH {ENTRIES}, g AS (SELECT *, lag(st) OVER (PARTITION BY capture_id ORDER BY st, ix) AS before FROM e WHERE st IS NOT NULL),
+    s AS (SELECT *, sum(CASE WHEN before IS NULL OR st - before >= {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id ORDER BY st, ix) AS k FROM g),
+    f AS (SELECT capture_id, min(st) AS first_us, max(st) AS last_us, count(*) AS requests, CAST(sum(size) AS BIGINT) AS bytes FROM s GROUP BY capture_id, k)
+    SELECT * FROM f
+"""
+
+
+def _instants(found: DataFrame) -> DataFrame:
+    return found.select("capture_id", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "requests", "bytes")
+
+
+@query(SESSIONS_SQL.replace("{gap}", "7200000000"), "user_id::VARCHAR")
+def d4_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of a user's requests without a gap of two hours."""
+    return _instants(sessions(standins.entries(spark, sf_dir, "user_id"), gap="2 hours"))
+
+
+@query(SESSIONS_SQL.replace("{gap}", "7200000000") + " WHERE last_us + 7200000000 <= (SELECT max(st) FROM e) - 600000000", "user_id::VARCHAR")
+def d4_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the table read as a stream: sessions that are over by the time its watermark reaches."""
+    folder = _shared(spark)
+    stream = session_stream(standins.entries(spark, sf_dir, "user_id", stream=True), gap="2 hours", late="10 minutes")
+    run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return _instants(spark.read.schema(stream.schema).parquet(f"{folder}/out"))
+
+
 def _compared(df: DataFrame) -> DataFrame:
     value = lambda side: F.coalesce(f"{side}_count", micros(f"{side}_duration")).alias(side)
     return df.select("kind", "metric", value("base"), value("candidate"), value("delta"), "status")

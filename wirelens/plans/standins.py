@@ -20,8 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def entries(spark: SparkSession, sf_dir: str, capture: str = "event_type") -> DataFrame:
+def entries(spark: SparkSession, sf_dir: str, capture: str = "event_type", stream: bool = False) -> DataFrame:
+    """The events as entries, ``capture`` being the column that names the capture; with ``stream``, as a stream of the table's files."""
     events = table(spark, sf_dir, "events")
+    if stream:
+        # As a pattern the path may be a file as well as a folder.
+        events = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet")
     micros = F.round(F.col("value") * 100).cast("long") * 600_000
     given = {
         "capture_id": F.col(capture).cast("string"), "entry_ix": F.col("event_id"), "started": F.col("ts").cast("timestamp"), "duration": F.when(micros >= 0, duration_from_micros(micros)),
