@@ -125,5 +125,103 @@ def test_deep_and_wide_pages_end_in_seconds():
         known = html.Wrapper.of(page)
         known.add(html.Wrapper.of(page + "<p>more</p>"))
         known = html.Wrapper.loads(known.dumps())
-        html.main_text(page, html.main_paths(known))
+        html.main_text(page, html.Rules(html.main_paths(known), known.template, html.kept_paths(known)))
         assert time.perf_counter() - began < 30
+
+
+def told(k, n=30):
+    return " ".join(f"w{k}x{j}" for j in range(n))
+
+
+def test_what_all_pages_share_may_be_the_article_s(spark):
+    """Headings and bylines that every page of a host has, titles in a header by class, sections of which one word is listed, pages within a form."""
+    shared = lambda k: f"<article><h1>T{k}</h1><p>By Ann Lee</p><h2>Summary</h2><p>{told(k)}</p><h2>Details</h2><p>{told(k + 100)}</p></article>"
+    header = lambda k: f"<nav><a>home</a></nav><article><div class='article-header'><h1>T{k}</h1></div><p>{told(k)}</p></article>"
+    section = lambda k: f"<article><h1>T{k}</h1><p>{told(k)}</p><section class='related-work'><h2>Earlier</h2><p>{told(k + 50)}</p></section><section class='social-impact'><p>{told(k + 70)}</p></section></article>"
+    form = lambda k: f"<form id=aspnet><nav><a>home</a></nav><div class=c1><h1>T{k}</h1><p>{told(k)}</p><form class=search><input>find</form></div></form><footer>f</footer>"
+    inner = lambda k: f"<body><form><header>top</header><article><h1>T{k}</h1><p>{told(k)}</p><form><label>mail {k}</label></form></article></form></body>"
+    rows = [(100 * i + k, f"https://h{i}.example/{k}", f(k)) for i, f in enumerate((shared, header, section, form, inner)) for k in range(5)]
+    rows += [(900 + i, f"https://lone{i}.example/", f(7)) for i, f in enumerate((shared, header, section, form, inner))]
+    got = {i: r.text.split("\n\n") for i, r in run(spark, rows).items()}
+    want = [
+        lambda k: [f"T{k}", "By Ann Lee", "Summary", told(k), "Details", told(k + 100)], lambda k: [f"T{k}", told(k)], lambda k: [f"T{k}", told(k), "Earlier", told(k + 50), told(k + 70)],
+        lambda k: [f"T{k}", told(k)], lambda k: [f"T{k}", told(k)],
+    ]
+    for i, f in enumerate(want):
+        for k in range(5):
+            assert got[100 * i + k] == f(k), (i, k)
+        assert got[900 + i] == f(7), i
+
+
+def test_names_of_more_than_one_word(spark):
+    """A listed word beside neutral ones tells a menu or comments; beside others the host's wrapper tells by links and constants."""
+    page = lambda k: (
+        f"<article><h1>T{k}</h1><p>{told(k)}</p><div class='comments-list'><p>nice {told(k + 300)}</p></div><div class='share-buttons'>tell friends {k}</div><ul class='related-reads'><li><a href=1>next {told(k + 400, 9)}</a></li></ul>"
+        f"<div class='cookie-policy-text'>We use cookies on every page</div><div class='cookie-recipe'>Take flour {k}</div><div class='ad-slot'>buy {k}</div></article>"
+    )
+    got = run(spark, [(k, f"https://a.example/{k}", page(k)) for k in range(6)])
+    assert all(got[k].text == f"T{k}\n\n{told(k)}\n\nTake flour {k}" for k in range(6))
+
+
+def test_text_that_moves_is_no_template(spark):
+    """The same sentence in every page is dropped where it stands at one place in all of them, and kept where it doesn't."""
+    page = lambda k, at: "<article>" + "".join(f"<p>{told(100 * k + j)}</p>" if j != at else "<p>As told before, all is well.</p>" for j in range(9)) + "</article>"
+    fixed = run(spark, [(k, f"https://a.example/{k}", page(k, 4)) for k in range(5)])
+    moved = run(spark, [(k, f"https://a.example/{k}", page(k, 2 + k)) for k in range(5)])
+    assert not any("As told before" in r.text for r in fixed.values()) and all("As told before" in r.text for r in moved.values())
+
+
+inline = st.sampled_from(["{}", "<b>{}</b>", "x<br>{}", "<a href=1>{}</a> y", "&lt;{}&gt;", "<span class='note'>{}</span>"])
+block = st.sampled_from(["<p>{}</p>", "<div>{}</div>", "<h2>{}</h2>", "<ul><li>{}</li><li>z</li></ul>", "<blockquote><p>{}</p></blockquote>", "<table><tr><td>{}</td><td>q</td></tr></table>", "<section class='part'>{}</section>", "{}"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(block, inline), min_size=1, max_size=8), min_size=1, max_size=5))
+def test_nothing_of_an_article_is_dropped(pages):
+    """By brute force: the main text is the article's source without its tags, word by word, when no two pages share a text at a place."""
+    import re
+    from html import unescape
+
+    made = ["".join(b.format(i.format(f"w{k}n{j}")) for j, (b, i) in enumerate(parts)) for k, parts in enumerate(pages)]
+    whole = None
+    for body in made:
+        own = html.Wrapper.of(f"<html><body><nav>menu</nav><article>{body}</article><footer>end</footer></body></html>")
+        whole = own if whole is None else (whole.add(own), whole)[1]
+    whole = html.Wrapper.loads(whole.dumps())
+    kept = html.kept_paths(whole)
+    rules = html.Rules(html.main_paths(whole, kept), set(), kept)
+    for body in made:
+        got = html.main_text(f"<html><body><nav>menu</nav><article>{body}</article><footer>end</footer></body></html>", rules)
+        plain = re.sub(r"</?(?:b|a|span)\b[^>]*>", "", body)
+        assert got.split() == unescape(re.sub(r"<[^>]*>", " ", plain)).split()
+
+
+def test_gathering_leaves_nothing_out(monkeypatch):
+    """A wrapper of very different pages takes parts of one kind together; its characters, slots and rules stay."""
+    pages = ["<body><nav><a>m</a></nav><div class=c>" + "".join(f"<p class=k{(i * k) % 17}>{told(i * 40 + k, 12)}</p><hr>" for i in range(1, 30)) + "</div></body>" for k in range(1, 9)]
+
+    def known():
+        whole = html.Wrapper.of(pages[0])
+        for p in pages[1:]:
+            whole.add(html.Wrapper.of(p))
+        return whole
+
+    def rules(w):
+        kept = html.kept_paths(w)
+        return html.main_paths(w, kept), w.template, kept
+
+    free = known()
+    monkeypatch.setattr(html, "MOST_PARTS", 30)
+    few = known()
+    assert few.parts < free.parts and sum(x.chars for x in html.preorder(few.root)) == sum(x.chars for x in html.preorder(free.root))
+    assert rules(few) == rules(free)
+
+
+def test_a_hot_host_is_aligned_in_a_tree(spark, monkeypatch):
+    rows = [(k, "https://hot.example/x", f"<article><h1>T{k}</h1><p>{told(k)}</p></article>") for k in range(90)]
+    df = spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA).repartition(45)
+    want = sorted(map(str, html.extract(df).collect()))
+    monkeypatch.setattr(html, "MOST_ALIGNED", 3)
+    assert sorted(map(str, html.extract(df).collect())) == want
+    (host,) = html.host_wrappers(df).collect()
+    assert host.n == 90
