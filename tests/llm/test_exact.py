@@ -56,4 +56,15 @@ def test_rows_are_judged_not_ids(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(exact, "MOST_KEYS", -1)  # too many groups to broadcast
             assert kept(exact.exact_dedup(df)) == expected
-            assert sorted(map(str, exact.exact_groups(df).collect())) and exact.exact_groups(df).count() == df.count()
+            above = sorted(map(str, exact.exact_groups(df).collect()))
+        assert above == sorted(map(str, exact.exact_groups(df).collect())) and len(above) == df.count()
+
+
+def test_the_hash_is_left_out_alike_at_every_size(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Aa"), (2, "aA"), (3, "bcd"), (4, None), (5, "x" * 200 + "a"), (6, "x" * 200 + "b")], "doc_id long, text string")
+    want = {(1, 2, True), (2, 2, True), (3, 3, False), (4, 4, False), (5, 5, True), (6, 6, True)}
+    for most in (1 << 19, -1):
+        monkeypatch.setattr(exact, "MOST_KEYS", most)
+        assert {(r.doc_id, r.keep_id, r.text_sha256 is not None) for r in exact.exact_groups(df).collect()} == want
+        plan = exact.exact_dedup(df)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "max_by" not in plan  # the rows that stay are read where they are

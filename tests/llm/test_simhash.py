@@ -139,3 +139,63 @@ def test_near_copies_are_found_and_others_left_alone(spark):
     expected = set(low)
     assert len(pairs) > 80 and len(got ^ expected) <= 0.05 * len(pairs)
     assert expected <= got  # nothing goes that is not alike
+
+
+def families(rng, n, size, vocabulary=4000):
+    """Texts that drift: each member is made of an earlier one by changes that leave a similarity on either side of 0.8."""
+    rows = []
+    for _ in range(n):
+        base = [f"x{v}" for v in rng.integers(0, vocabulary, int(rng.integers(60, 300)))]
+        own = [base]
+        while len(own) < size:
+            copy = list(own[int(rng.integers(0, len(own)))])
+            for _ in range(int(rng.integers(1, max(2, len(base) // 20)))):
+                copy[int(rng.integers(0, len(copy)))] = f"n{rng.integers(0, 10**9)}"
+            own.append(copy)
+        rows += own
+    return rows
+
+
+def kept_by_all_pairs(rows, similarity=0.8):
+    sets = [{tuple(r[i : i + 5]) for i in range(len(r) - 4)} for r in rows]
+    by, low = {}, list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for g in x:
+            by.setdefault(g, []).append(i)
+    top = lambda k: k if low[k] == k else top(low[k])
+    pairs = {(i, j) for own in by.values() for i in own for j in own if i < j}
+    near = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    for i, j in near:
+        a, b = top(i), top(j)
+        low[max(a, b)] = min(a, b)
+    return {k for k in range(len(rows)) if top(k) == k}, len(near)
+
+
+def test_no_link_is_lost_in_families(spark):
+    """Families whose members are alike to about 0.8: the rows that stay are those of all pairs compared by their shingles."""
+    rows = families(np.random.default_rng(8), 30, 20)
+    expected, n = kept_by_all_pairs(rows)
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in simhash.near_dedup(df).collect()}
+    assert n > 400 and len(expected) > 150
+    assert got == expected
+
+
+def test_proposals_are_all_links_into_other_components():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, (6, 2), dtype=np.uint64)
+    flip = lambda k: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, k, dtype=np.uint64))
+    fps = np.array([[b[0] ^ flip(4), b[1] ^ flip(5)] for b in base for _ in range(12)], np.uint64)
+    node, comp = np.arange(len(fps)) + 500, rng.integers(0, 9, len(fps))
+    size = np.bincount(comp)[comp]
+    tile = lambda k: [fps[k, 0], fps[k, 1], node[k], comp[k], size[k]]
+    bits = np.bitwise_count(fps[:, None] ^ fps[None]).astype(int)
+    want = {(min(x, y) + 500, max(x, y) + 500) for x in range(len(fps)) for y in range(x) if bits[x, y, 0] <= 9 and bits[x, y].sum() <= 17 and comp[x] != comp[y]}
+    half = np.arange(len(fps)) % 2 == 0
+    for most in (1, 3, 1000):
+        got = [simhash.proposals(tile(half), None, 9, 17, most), simhash.proposals(tile(~half), None, 9, 17, most), simhash.proposals(tile(half), tile(~half), 9, 17, most)]
+        pairs = {(min(a, b), max(a, b)) for one, other, _ in got for a, b in zip(one.tolist(), other.tolist(), strict=True)}
+        assert pairs <= want and (pairs == want) == (not any(more.any() for *_, more in got)) and (most < 1000 or pairs == want)
+        for one, other, _ in got:
+            assert all((size[a - 500], comp[a - 500]) < (size[b - 500], comp[b - 500]) for a, b in zip(one, other, strict=True))
+            assert not len(one) or np.unique(one, return_counts=True)[1].max() <= most

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Up to so many row keys (8 bytes each) are broadcast.
+MOST_KEYS = 1 << 19
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,6 +52,19 @@ def save(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a written table in the shared folder.
+
+    Loops need this: a checkpoint keeps Spark's estimate of its size, and
+    estimates of joins are products, so that in tables joined round after
+    round they double their digits each time, until planning takes all the
+    time. A file's size is known.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fold_ascii(col: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(col, F.lit("")), UPPER, UPPER.lower())
@@ -104,6 +120,25 @@ def row_key(id_: Column, text: Column) -> Column:
     return F.xxhash64(id_.cast("string"), id_.isNull(), text.cast("string"), text.isNull())
 
 
+def staying(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns. ``verdicts``, a saved table, has a row for each row key judged: key, stays, n (rows of that key); of rows alike in id and text one stays.
+
+    Only keys of rows that go or that are repeated are joined, and broadcast
+    if they are few enough; rows that nothing is said of stay where they are.
+    """
+    key, row = fresh(docs, "_key", "_row")
+    named = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    gone = verdicts.where("not stays").select(F.col("key").alias(key))
+    left = named.join(F.broadcast(gone) if gone.count() <= MOST_KEYS else gone, key, "left_anti")
+    again = verdicts.where("stays and n > 1").select(F.col("key").alias(key))
+    if again.isEmpty():
+        return left.select(docs.columns)
+    # Rows that are repeated whole: each task sends one of them.
+    again = F.broadcast(again) if again.count() <= MOST_KEYS else again
+    one = left.join(again, key, "left_semi").groupBy(key).agg(F.any_value(F.struct(*docs.columns)).alias(row))
+    return left.join(again, key, "left_anti").select(docs.columns).unionByName(one.select(*(F.col(row)[c].alias(c) for c in docs.columns)))
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, weight: int | None = None, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of bounded size; ``weight`` is the position of the column that holds the bulk."""
     held: list[tuple] = []
@@ -153,13 +188,13 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         both = save(e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
         e = _star(both, F.col("v") > F.col("u"))
         e = _star(save(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()), F.lit(True))
-        e = save(e.where("u <> v").distinct())
+        e = store(e.where("u <> v").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return save(found.union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
+    return store(found.union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
 
 
 def _star(e: DataFrame, moved: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import attach, fold_ascii, fresh, save
+from wirelens.llm.common import attach, fold_ascii, row_key, save, staying
 
 PREFIX_CHARS = 128
 #: Up to so many groups of equal length and prefix, their keys (8 bytes each) are broadcast to the scan that hashes whole texts.
@@ -23,8 +23,8 @@ def _digest(text: Column) -> Column:
     return F.sha2(fold_ascii(text.cast("string")).cast("binary"), 256)
 
 
-def _surviving(docs: DataFrame, text_col: str) -> tuple[DataFrame, int, bool]:
-    """Keys of length and prefix that more than one row has, the number of rows, and whether the keys are few enough to broadcast.
+def _surviving(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """Keys of length and prefix that more than one row has (prefix, n), and the number of rows.
 
     Lengths are counted first; only rows whose length repeats are counted by
     prefix. Both counts combine before the shuffle, so a hot key moves a row a
@@ -35,17 +35,29 @@ def _surviving(docs: DataFrame, text_col: str) -> tuple[DataFrame, int, bool]:
     sizes = save(narrow.groupBy("size").agg(F.count("*").alias("n")))
     total = int(sizes.agg(F.sum("n")).first()[0] or 0)
     again = attach(narrow, sizes.where("n > 1"), ["size"], total).where("n > 1")
-    keys = save(again.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"))
-    return keys, total, keys.count() <= MOST_KEYS
+    return save(again.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")), total
 
 
-def _alive(df: DataFrame, keys: DataFrame, few: bool, text_col: str, name: str) -> DataFrame:
-    """``df`` with a flag: whether a row's length and prefix repeat. With too many keys for a broadcast every row is taken to be alive, as hashing a text costs less than moving it."""
-    if not few:
-        return df.withColumn(name, F.lit(True))
-    (key,) = fresh(df, "_prefix")
-    marked = df.withColumn(key, _prefix(F.col(text_col))[1]).join(F.broadcast(keys.select(F.col("prefix").alias(key), F.lit(True).alias(name))), key, "left")
-    return marked.withColumn(name, F.coalesce(name, F.lit(False))).drop(key)
+def _hashed(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> tuple[DataFrame, int]:
+    """Saved rows (id, key, alive, sha), and their number: whether a row's length and prefix repeat, and the hash of its whole text, or of every text with ``digest``.
+
+    Texts are hashed where they are read and never move. While the repeated
+    keys are few enough to broadcast, only texts that repeat them are hashed;
+    beyond that all are, and the narrow rows are joined to the keys, with the
+    same result.
+    """
+    keys, total = _surviving(docs, text_col)
+    text = F.col(text_col).cast("string")
+    names = [F.col(id_col).alias("id"), row_key(F.col(id_col), text).alias("key"), _prefix(text)[1].alias("prefix")]
+    alive = F.col("n").isNotNull()
+    if keys.count() <= MOST_KEYS:
+        marked = docs.select(*names, F.col(text_col).alias("t")).join(F.broadcast(keys), "prefix", "left")
+        sha = _digest(F.col("t"))
+        rows = marked.select("id", "key", alive.alias("alive"), (sha if digest else F.when(alive, sha)).alias("sha"))
+    else:
+        marked = attach(save(docs.select(*names, _digest(text).alias("sha"))), keys, ["prefix"], total)
+        rows = marked.select("id", "key", alive.alias("alive"), (F.col("sha") if digest else F.when(alive, F.col("sha"))).alias("sha"))
+    return save(rows), total
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -61,10 +73,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``exact_dedup`` keeps one of them. An empty table gives an empty result;
     other columns are ignored.
     """
-    keys, total, few = _surviving(docs, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    full = _digest(F.col("t"))
-    hashed = save(_alive(rows, keys, few, "t", "alive").select("id", "alive", (full if digest else F.when(F.col("alive"), full)).alias("sha")))
+    hashed, total = _hashed(docs, id_col, text_col, digest)
     alive, lone = hashed.where("alive"), hashed.where("not alive")
     groups = save(alive.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("n")))
     joined = attach(alive, groups, ["sha"], total).select("id", "keep_id", F.col("n").alias("group_size"), "sha")
@@ -80,13 +89,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Equality and ids are those of ``exact_groups``. Rows, not ids, are judged:
     an id that stands on several texts stays with each text of which it is the
     largest, and a row without an id stays if no equal text has one. Of rows
-    alike in id and text one stays. Rows of which length or prefix is unique
-    stay where they are; of the others each task sends one row a text.
+    alike in id and text one stays. What is judged are narrow rows; the texts
+    are read once more, without the rows that go.
     """
-    keys, _, few = _surviving(docs, text_col)
-    alive, sha, row = fresh(docs, "_alive", "_sha", "_row")
-    marked = _alive(docs, keys, few, text_col, alive)
-    order = F.struct(F.col(id_col), F.xxhash64(F.col(text_col)))
-    best = marked.where(F.col(alive)).groupBy(_digest(F.col(text_col)).alias(sha)).agg(F.max_by(F.struct(*docs.columns), order).alias(row))
-    kept = best.select(*(F.col(row)[c].alias(c) for c in docs.columns))
-    return kept if not few else marked.where(~F.col(alive)).select(docs.columns).unionByName(kept)
+    hashed, total = _hashed(docs, id_col, text_col, False)
+    alive = hashed.where("alive")
+    # A null id is smaller than any other; of equal ids the key decides.
+    best = save(alive.groupBy("sha").agg(F.max(F.struct("id", "key")).alias("best"), F.count("*").alias("n")))
+    judged = attach(alive, best.where("n > 1"), ["sha"], total).where("n > 1")
+    verdicts = judged.groupBy("key").agg(F.first(F.col("key") == F.col("best.key")).alias("stays"), F.count("*").alias("n"))
+    return staying(docs, save(verdicts), id_col, text_col)

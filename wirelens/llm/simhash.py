@@ -10,17 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import attach, batches, components, fresh, row_key, save, words
+from wirelens.llm.common import MOST_KEYS, attach, batches, components, row_key, save, staying, store, words
 
 RADIUS = 4
-#: Of the wide fingerprint of 128 bits: 26 differing bits stand for a similarity of about 0.8 (20 are expected at 0.8, with a deviation of 4), 16 of them in the first half.
-WIDE_RADIUS, FIRST_RADIUS = 26, 16
+#: Of the wide fingerprint of 128 bits: at a similarity of 0.8 some 20 differing bits are expected, with a deviation of 4, half of them in the first half. Three deviations are added, so that hardly a pair of 0.8 is missed; the check decides.
+WIDE_RADIUS, FIRST_RADIUS = 32, 20
+#: Links that a node proposes in each strip of a comparison after the forest was checked, and times as many in each further round.
+FIRST_PROPOSALS, MORE_PROPOSALS = 64, 16
 #: Tiles hold a 32nd of the fingerprints each, within these bounds; so the pairs of tiles, and the copies sent of each, stay as many.
 TILES, LEAST, MOST = 32, 512, 1 << 18
 #: Pairs that a strip of a comparison holds at once.
 STRIP = 1 << 21
-#: Up to so many dropped rows, their keys (8 bytes each) are broadcast.
-MOST_KEYS = 1 << 19
 
 
 def fingerprint(text: str | None, shingle: int = 5, wide: bool = False) -> int:
@@ -64,7 +64,8 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, step: int |
     """A spanning forest of the links between tiles a and b, or within a: indices into a, and into b (or a).
 
     Links are pairs at ``radius`` or fewer differing bits; with second halves
-    a2 and b2, those of them at ``whole`` or fewer in both halves. Each strip
+    a2 and b2, those of them at ``whole`` or fewer in both halves, the nearest
+    of both halves first. Each strip
     of the comparison is reduced to edges that join parts not joined before,
     so a group of many near copies gives one edge a member.
     """
@@ -94,7 +95,8 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, step: int |
                 break
             # Each part hangs itself on the part before it that is nearest in bits; one edge stands for that.
             high, low = np.maximum(p, q), np.minimum(p, q)
-            order = np.lexsort((low, np.bitwise_count(a[i] ^ b[j]), high))
+            bits = np.bitwise_count(a[i] ^ b[j]) if a2 is None else np.bitwise_count(a[i] ^ b[j]) + np.bitwise_count(a2[i] ^ b2[j])
+            order = np.lexsort((low, bits, high))
             keep = order[np.r_[True, high[order][1:] != high[order][:-1]]]
             left.append(i[keep])
             right.append(j[keep])
@@ -107,18 +109,50 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, step: int |
     return np.concatenate([none, *left]).astype(np.int64), np.concatenate([none, *right]).astype(np.int64)
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, whole: int | None = None) -> DataFrame:
+def proposals(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int, whole: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between tiles a and b, or within a, whose ends are in different components: the node that proposes, the other, and whether the first has more.
+
+    A tile is fp, fp2, node, component and the component's size. Of two
+    components the smaller one's node proposes, so that a large one's many
+    nodes do not; each proposes its ``most`` nearest links in a strip.
+    """
+    own = b is None
+    b = a if own else b
+    out = []
+    for s in range(0, len(a[0]), max(1, STRIP // max(1, len(b[0])))):
+        strip = a[0][s : s + max(1, STRIP // max(1, len(b[0])))]
+        first = s + 1 if own else 0
+        i, j = np.nonzero(np.bitwise_count(strip[:, None] ^ b[0][None, first:]) <= radius)
+        i, j = i + s, j + first
+        bits = np.bitwise_count(a[0][i] ^ b[0][j]).astype(np.int64) + np.bitwise_count(a[1][i] ^ b[1][j])
+        fit = (bits <= whole) & (a[3][i] != b[3][j]) & ((j > i) | (not own))
+        i, j, bits = i[fit], j[fit], bits[fit]
+        swap = (a[4][i] > b[4][j]) | (a[4][i] == b[4][j]) & (a[3][i] > b[3][j])
+        one, other = np.where(swap, b[2][j], a[2][i]), np.where(swap, a[2][i], b[2][j])
+        order = np.lexsort((other, bits, one))
+        one, other = one[order], other[order]
+        new = np.r_[True, one[1:] != one[:-1]] if len(one) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        place = np.arange(len(one)) - np.repeat(start, np.diff(np.r_[start, len(one)]))
+        more = np.repeat(np.diff(np.r_[start, len(one)]) > most, np.diff(np.r_[start, len(one)]))
+        out.append((one[place < most], other[place < most], more[place < most]))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
+
+
+def near_links(classes: DataFrame, radius: int = RADIUS, whole: int | None = None, most: int | None = None) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all links (see ``links``; ``whole`` is given with second halves).
 
     ``classes`` has distinct fingerprints: node, fp, fp2. Fingerprints of
     equal population count in fp form tiles of bounded size. Tiles are compared
     whole if their counts differ by ``radius`` at most; beyond it no pair can
-    link.
+    link. With ``most``, classes also have component and size, and the edges
+    (a, b, more) are ``proposals``.
     """
-    fps = classes.select(F.struct("fp", "fp2", "node").alias("fp"), F.bit_count("fp").alias("pop"))
+    held = ["fp", "fp2", "node"] + (["component", "size"] if most else [])
+    fps = classes.select(F.struct(*held).alias("fp"), F.bit_count("fp").alias("pop"))
     per = {r["pop"]: r["n"] for r in fps.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     if not per:
-        return classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        return classes.select(F.col("node").alias("a"), F.col("node").alias("b"), *([F.lit(False).alias("more")] if most else [])).limit(0)
     tile = min(MOST, max(LEAST, sum(per.values()) // TILES))
     parts = F.create_map(*(F.lit(x) for p, n in per.items() for x in (p, -(-n // tile))))
     tiles = fps.withColumn("part", F.pmod(F.xxhash64("fp.node"), F.element_at(parts, F.col("pop")))).groupBy("pop", "part").agg(F.collect_list("fp").alias("fps"))
@@ -126,16 +160,19 @@ def near_links(classes: DataFrame, radius: int = RADIUS, whole: int | None = Non
     other = tiles.withColumn("pop2", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pop") - radius), F.least(F.lit(64), F.col("pop") + radius))))
     other = other.where(F.map_contains_key(parts, F.col("pop2"))).withColumn("part2", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("pop2")) - 1)))
     me, it = F.struct(F.col("pop").cast("int"), F.col("part").cast("int")), F.struct(F.col("pop2").cast("int"), F.col("part2").cast("int"))
-    sent = other.select(F.least(me, it).alias("x"), F.greatest(me, it).alias("y"), *(F.col("fps")[c].alias(c) for c in ("fp", "fp2", "node")))
+    sent = other.select(F.least(me, it).alias("x"), F.greatest(me, it).alias("y"), *(F.col("fps")[c].alias(c) for c in held))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(key: tuple, pair: pa.Table) -> pa.Table:
-        tiles = sorted(([np.asarray(x.values).view(np.uint64) for x in row] for row in zip(*(pair.column(c) for c in ("fp", "fp2", "node")), strict=True)), key=lambda t: len(t[0]))
+        tiles = sorted(([np.asarray(x.values).view(np.uint64) for x in row] for row in zip(*(pair.column(c) for c in held), strict=True)), key=lambda t: len(t[0]))
+        if most:
+            tiles = [[x.view(np.int64) if k > 1 else x for k, x in enumerate(t)] for t in tiles]
+            return pa.table(list(proposals(tiles[0], tiles[1] if len(tiles) > 1 else None, radius, whole, most)), schema=schema.append(pa.field("more", pa.bool_())))
         (a, a2, own), (b, b2, other) = tiles[0], tiles[1] if len(tiles) > 1 else (None, None, None)
         i, j = links(a, b, radius) if whole is None else links(a, b, radius, a2=a2, b2=b2, whole=whole)
         return pa.table([own[i].view(np.int64), (own if other is None else other)[j].view(np.int64)], schema=schema)
 
-    return sent.groupBy("x", "y").applyInArrow(compare, "a long, b long")
+    return sent.groupBy("x", "y").applyInArrow(compare, "a long, b long" + (", more boolean" if most else ""))
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -151,12 +188,18 @@ def alike(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def checked(edges: DataFrame, texts: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
-    """The edges (a, b) whose texts' shingles are alike to ``similarity`` or more. ``texts`` has one row a node: node, text."""
-    sets = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """node, set (bytes of sorted hashes) of each node's text."""
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(((i, shingle_set(t.as_py(), shingle).tobytes()) for part in parts for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)), sets, weight=1)
+        yield from batches(((i, shingle_set(t.as_py(), shingle).tobytes()) for part in parts for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)), schema, weight=1)
+
+    return texts.select("node", "text").mapInArrow(hashed, "node long, set binary")
+
+
+def checked(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose sets of shingles are alike to ``similarity`` or more. ``sets`` has one row a node: node, set."""
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -164,13 +207,53 @@ def checked(edges: DataFrame, texts: DataFrame, similarity: float, shingle: int
             yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     used = save(edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")))
-    known = save(texts.select("node", "text").mapInArrow(hashed, "node long, set binary").join(used, "node"))
+    known = save(sets.join(used, "node"))
     left = attach(edges, known.select(F.col("node").alias("a"), F.col("set").alias("x"), "n"), ["a"], edges.count()).drop("n")
     left = save(left)
     both = attach(left, known.select(F.col("node").alias("b"), F.col("set").alias("y"), "n"), ["b"], left.count())
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
+def linked(classes: DataFrame, forest: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Components (node, component) of all proposed pairs that pass the check.
+
+    A forest holds one link for each part that it joins; where the check cuts
+    one, other links may still join its ends. A component that is cut off has
+    a refused link that leaves it; so in each round the nodes of such
+    components propose their nearest links into others of them that were not
+    checked yet, until none has any left. Components without one are whole and
+    never looked at again, so a large group of near copies costs a check a
+    member; a pair that is never checked lies within one component.
+    """
+    order = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tested = store(order(forest))
+    good = store(checked(tested, sets, similarity))
+    found = components(good)
+    nodes = store(tested.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    most = FIRST_PROPOSALS
+    while True:
+        named = store(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        ends = tested.join(good, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            ends = ends.join(named.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end)
+        cut = ends.where("of_a <> of_b").select(F.explode(F.array("of_a", "of_b")).alias("component")).distinct()
+        sizes = save(named.groupBy("component").agg(F.count("*").alias("size")).join(cut, "component"))
+        if sizes.isEmpty():
+            return found
+        # Narrow rows, of which only those of cut components are left; a large component is split by the join itself.
+        apart = save(named.join(sizes, "component").join(classes.select("node", "fp", "fp2"), "node").select("node", "fp", "fp2", "component", "size"))
+        made = store(near_links(apart, FIRST_RADIUS, radius, most))
+        new = store(order(made).join(tested, ["a", "b"], "left_anti"))
+        more = save(checked(new, sets, similarity))
+        if not more.isEmpty():
+            good = store(good.union(more))
+            found = components(good)
+        if made.where("more").isEmpty():
+            return found  # every link between the components has been checked
+        tested = store(tested.union(new))
+        most *= MORE_PROPOSALS
+
+
 def _classes(docs: DataFrame, shingle: int, radius: int, similarity: float | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Saved rows (doc_id, key, node) and classes of equal fingerprints (node, fp, component, n); with ``similarity``, links of wide fingerprints are checked."""
     wide = similarity is not None
@@ -183,8 +266,10 @@ def _classes(docs: DataFrame, shingle: int, radius: int, similarity: float | Non
         wanted = save(classes.join(ends, "node").select("node", F.col("one").alias("key")))
         texts = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
         texts = texts.join(F.broadcast(wanted) if wanted.count() <= MOST_KEYS else wanted, "key").groupBy("node").agg(F.any_value("text").alias("text"))
-        edges = save(checked(edges, texts, similarity, shingle))
-    found = components(edges, "a", "b").withColumnRenamed("node", "linked")
+        found = linked(classes, edges, save(shingle_sets(texts, shingle)), radius, similarity)
+    else:
+        found = components(edges, "a", "b")
+    found = found.withColumnRenamed("node", "linked")
     return rows, save(classes.join(found, classes["node"] == found["linked"], "left").select("node", "fp", "n", F.coalesce("component", "node").alias("component")))
 
 
@@ -209,10 +294,10 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, sim
     """The rows of ``docs`` that stay, all columns: of each group of near copies the one with the smallest id.
 
     Fingerprints have 128 bits here, and the default radius proposes nearly
-    all pairs whose shingles are alike to 0.8. Of each part's links the
-    nearest is checked by the texts' sets of shingles, and holds from
-    ``similarity`` on; so a group of many near copies gives a check a member,
-    not one a pair. Texts of equal fingerprints count as alike. Rows, not ids,
+    all pairs whose shingles are alike to 0.8. A proposed pair links if the
+    texts' sets of shingles are alike to ``similarity``; every one is checked
+    but those within a group that others hold together already, see
+    ``linked``. Texts of equal fingerprints count as alike. Rows, not ids,
     are judged: an id that stands on several texts is no reason to drop any. A
     row without an id stays if no other of its group has one. Of rows alike in
     id and text one stays. Texts without words form one group. An empty table
@@ -225,13 +310,4 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, sim
     kept = save(attach(classes.withColumnRenamed("n", "rows"), per, ["component"], classes.count()).select("node", F.col("low.key").alias("kept"), F.col("rows").alias("n")))
     judged = attach(rows.select("key", "node"), kept, ["node"], rows.count())
     keys = save(judged.groupBy("key").agg(F.first(F.col("key") == F.col("kept")).alias("stays"), F.count("*").alias("n")))
-    key, stays, row = fresh(docs, "_key", "_stays", "_row")
-    named = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
-    gone = keys.where("not stays").select(F.col("key").alias(key))
-    left = named.join(F.broadcast(gone) if gone.count() <= MOST_KEYS else gone, key, "left_anti")
-    again = keys.where("stays and n > 1").select(F.col("key").alias(key))
-    if again.isEmpty():
-        return left.select(docs.columns)
-    # Rows that are repeated whole: each task sends one of them.
-    one = left.join(again, key, "left_semi").groupBy(key).agg(F.any_value(F.struct(*docs.columns)).alias(row))
-    return left.join(again, key, "left_anti").select(docs.columns).unionByName(one.select(*(F.col(row)[c].alias(c) for c in docs.columns)))
+    return staying(docs, keys, id_col, text_col)
