@@ -6,7 +6,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -53,7 +53,7 @@ def _packer(identifiers: str) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=9, dict_data=primer, write_checksum=False, write_content_size=False)
 
 
-@cache
+@lru_cache(maxsize=512)  # 8 MB at most, however many shapes a corpus has
 def _standins(shape: str) -> tuple[str, ...]:
     """Random strings of a shape: ``a``, ``A``, ``f`` and ``0`` stand for a letter, a capital, a hex letter and a digit; others are kept."""
     rng = random.Random(shape)
@@ -113,14 +113,22 @@ def candidates(text: str, found: list[tuple[int, int, int]]) -> Iterator[tuple[i
             yield m.span()
 
 
-def spans(text: str | None, identifiers: str = IDENTIFIERS) -> list[tuple[int, str, int, float]]:
-    """(start, kind, end, novelty) of all finds, by start and then kind. Offsets count code points; null is empty."""
+def spans(text: str | None, identifiers: str = IDENTIFIERS) -> list[tuple[int, str, int, float | None]]:
+    """(start, kind, end, novelty) of all finds, by start and then kind. Offsets count code points; null is empty.
+
+    Other copies of a candidate are left out of its surroundings, so that a
+    secret that stands twice is as new as one that stands once. Pattern finds
+    are reported whatever they add, and have no novelty.
+    """
     text = text or ""
     found = base_spans(text)
-    rate = lambda a, b: novelty(text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], identifiers)
-    out = [(a, k, b, rate(a, b)) for a, k, b in found]
-    out += [(a, 3, b, share) for a, b in candidates(text, found) if (share := rate(a, b)) >= NOVEL]
-    return [(a, KINDS[k], b, share) for a, k, b, share in sorted(out)]
+    out: list[tuple[int, int, int, float | None]] = [(a, k, b, None) for a, k, b in found]
+    for a, b in candidates(text, found):
+        own = text[a:b]
+        near = (text[max(0, a - AROUND) : a].replace(own, ""), text[b : b + AROUND].replace(own, ""))
+        if (share := novelty(own, *near, identifiers)) >= NOVEL:
+            out.append((a, 3, b, share))
+    return [(a, KINDS[k], b, share) for a, k, b, share in sorted(out, key=lambda x: x[:3])]
 
 
 def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = MOST_IDENTIFIERS) -> str:
@@ -153,7 +161,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Kinds: assign, access and hex by pattern; novel: other strings near a
     sensitive word that stay as long as random ones when compressed among
     their surroundings and the corpus's identifiers. Null texts are empty;
-    repeated rows each give a row; an empty table gives an empty result.
+    repeated rows each give a row; an empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
     identifiers = corpus_identifiers(docs, text_col, most_identifiers)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("novelty", pa.float64()), ("string", pa.string())]))
