@@ -326,6 +326,34 @@ def d9_record_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run_id", F.col("schema_version").cast("int").alias("schema_version"), "analyzer_version", "parse_status", "f.detector", "f.metric", value.alias("value"), evidence.alias("evidence"))
 
 
+@query("""
+    WITH {ENTRIES}, v AS (SELECT * FROM t WHERE event_type = 'view' AND us > 0)
+    SELECT a.capture_id, a.ix AS entry_ix, v.ix AS page_ix, least(a.en, v.en) - greatest(a.st, v.st) AS overlap_us
+    FROM t a JOIN v ON a.capture_id = v.capture_id AND a.st < v.en AND v.st < a.en WHERE a.event_type <> 'view' AND a.us > 0
+""", "user_id::VARCHAR")
+def d6_page_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's requests that are in flight while one of the user's views loads."""
+    entries = standins.entries(spark, sf_dir, "user_id")
+    pages = entries.where("host = 'view'").drop("page_ix").withColumnRenamed("entry_ix", "page_ix")
+    found = ops.overlaps(entries.where("host <> 'view'"), pages, ["capture_id"], "entry_ix", "page_ix")
+    return found.select("capture_id", F.col("entry_ix").cast("long").alias("entry_ix"), F.col("page_ix").cast("long").alias("page_ix"), micros("overlap").alias("overlap_us"))
+
+
+@query("""
+    WITH r AS (SELECT event_id, ts, event_type, user_id % 3 AS version, event_id % 5 <> 0 AS complete FROM events),
+    c AS (SELECT event_type, version, ts, max(event_id) AS event_id FROM r WHERE complete AND ts IS NOT NULL GROUP BY ALL)
+    SELECT r.event_id AS run_id, c.event_id AS baseline FROM r ASOF LEFT JOIN c ON r.event_type = c.event_type AND r.version = c.version AND r.ts > c.ts
+""")
+def d10_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as runs: the run that each would be compared with."""
+    events = standins.table(spark, sf_dir, "events")
+    runs = events.select(
+        F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("started"), F.lit(1).alias("schema_version"), (F.col("user_id") % 3).cast("string").alias("analyzer_version"),
+        F.col("event_type").alias("environment"), F.when(F.col("event_id") % 5 != 0, "complete").otherwise("truncated").alias("parse_status"),
+    )
+    return ops.baselines(runs)
+
+
 @query(COMPARE_SQL.replace("{told}", "kind = 'count'").replace("{status}", "CASE WHEN kind = 'count' THEN 'ok' ELSE 'environment' END"))
 def d12_environment_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir)
