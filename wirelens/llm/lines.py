@@ -1,4 +1,4 @@
-"""Line dedup: runs of lines that repeat, found by the hashes of neighbouring lines."""
+"""Line dedup: runs of lines that repeat, found by winnowing over line hashes and extended both ways."""
 
 from __future__ import annotations
 
@@ -31,40 +31,51 @@ def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def fingerprints(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Places that are compared: kind, g, id, key, th, n, and the lines there.
-
-    Every pair of neighbouring lines is a fingerprint (kind 2), so that a
-    repeated run of two lines holds a common one, wherever it stands. A line
-    of ``least_words`` words is a fingerprint by itself (kind 1).
+    """Chosen lines, with the neighbours that a match may extend to: kind, g, other, side, id, key, th, n, own, and the lines there.
+
+    The winnowing window has two lines, so that a repeated run of two lines,
+    wherever it stands, holds a chosen line: the smaller hash of each two
+    neighbours (``g``, kind 2). A row has the chosen line's number (``own``)
+    and one neighbour: its hash (``other``) and whether it stands behind
+    (``side`` 1) or before. A line of ``least_words`` words is chosen by
+    itself (kind 1).
     """
     doc = W.partitionBy("key", "th").orderBy("line")
     # Rows alike in id and text are one document.
     once = lines.withColumn("_p", F.lag("line").over(doc)).where("_p is null or _p <> line").drop("_p")
     near = once.withColumn("n", F.row_number().over(doc)).withColumn("at", F.struct("line", "words"))
     near = near.withColumns({"h_next": F.lead("h").over(doc), "at_next": F.lead("at").over(doc)})
-    pair = F.when(F.col("h_next").isNotNull(), F.struct(F.lit(2).alias("kind"), F.xxhash64("h", "h_next").alias("g")))
-    kinds = F.array_compact(F.array(pair, F.when(F.col("words") >= least_words, F.struct(F.lit(1).alias("kind"), F.col("h").alias("g")))))
-    found = near.withColumn("k", F.explode(kinds))
-    return found.select("k.kind", "k.g", "id", "key", "th", "n", "at", F.when(F.col("k.kind") == 2, F.col("at_next")).alias("at_next"))
+    first = F.col("h") <= F.col("h_next")
+    pair = F.struct(F.lit(2).alias("kind"), F.least("h", "h_next").alias("g"), F.greatest("h", "h_next").alias("other"), first.cast("int").alias("side"), F.when(first, F.col("n")).otherwise(F.col("n") + 1).alias("own"))
+    alone = F.struct(F.lit(1).alias("kind"), F.col("h").alias("g"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), F.col("n").alias("own"))
+    found = near.withColumn("k", F.explode(F.array_compact(F.array(F.when(F.col("h_next").isNotNull(), pair), F.when(F.col("words") >= least_words, alone)))))
+    return found.select("k.*", "id", "key", "th", "n", "at", F.when(F.col("k.kind") == 2, F.col("at_next")).alias("at_next"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """key, th and line of every line that belongs to a later repeat of a run.
 
-    A fingerprint's first place, in order of id, text hash and line, is its
-    origin. Each later place is joined to the origin alone, so a line that
-    many documents share gives a row a place and no pairs. A longer match
-    needs no extending, as each of its pairs matches by itself. Matched lines
-    that follow one another form a run, which repeats if it has
-    ``least_lines`` lines or ``least_words`` words. The first place of any
-    line always stays.
+    Places of chosen lines that have one place alone are let go of first. The
+    others are extended by the neighbour on either side: a match is a later
+    place whose neighbour is also that of an earlier place, the first of them
+    in order of id, text hash and line being the origin. Each later place is
+    joined to the origin alone, so a line that many documents share gives a
+    row a place and no pairs; and an extension is tried against all earlier
+    places at once, as it is part of the key. Matched lines that follow one
+    another, extended from one chosen line or from several, form a run, which
+    repeats if it has ``least_lines`` lines or ``least_words`` words. The first
+    place of any line always stays.
     """
     found = save(fingerprints(text_lines(docs, id_col, text_col), least_words))
-    place = F.struct("id", "th", "n")
-    origin = found.groupBy("kind", "g").agg(F.min(place).alias("place"), F.count("*").alias("size"))
+    chosen = F.struct("id", "th", "own")
+    places = found.groupBy("kind", "g").agg((F.min(chosen) != F.max(chosen)).alias("again"), F.count("*").alias("size"))
+    again = save(places.where("again").select("kind", "g", "size"))
+    open_ = save(attach(found, again, ["kind", "g"], found.count(), "size").where("size is not null").drop("size"))
+    place, extended = F.struct("id", "th", "n"), ["kind", "g", "other", "side"]
+    origin = open_.groupBy(*extended).agg(F.min(place).alias("place"), F.count("*").alias("size"))
     origin = save(origin.where("size > 1"))
     # Only later places: the origin itself matches nothing.
-    matched = attach(found, origin, ["kind", "g"], found.count(), "size").where(F.col("place").isNotNull() & (place != F.col("place")))
+    matched = attach(open_, origin, extended, open_.count(), "size").where(F.col("place").isNotNull() & (place != F.col("place")))
     step = lambda at, k: F.when(at.isNotNull(), F.struct((F.col("n") + k).alias("n"), at["line"].alias("line"), at["words"].alias("words")))
     covered = F.array_compact(F.array(step(F.col("at"), F.lit(0)), step(F.col("at_next"), F.lit(1))))
     rows = matched.select("key", "th", F.explode(covered).alias("c")).groupBy("key", "th", "c.n").agg(F.max("c.line").alias("line"), F.max("c.words").alias("words"))
