@@ -59,7 +59,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     block, and the first again after the last. A source stops inside the block
     where it reaches its target, which two passes always hold as ``cap`` is 2
     at most. ``taken`` counts a row's words in the blocks taken. Rows without
-    words take none; repeated rows each have their own place in the stream.
+    words take none; repeated rows each have their own place in the stream. An
+    empty table gives an empty result; other columns are ignored.
     """
     if not 0 < share <= cap <= 2:
         raise ValueError("needs 0 < share <= cap <= 2")
@@ -132,7 +133,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The rows of ``docs`` as the mix takes them, all columns: each as often as the words taken make whole copies of it, rounded.
 
     Rows without words stay once. Rows alike in id, source and text share
-    what the mix takes of them evenly.
+    what the mix takes of them evenly. An empty table gives an empty result;
+    other columns stay as they are, whatever their names.
     """
     place, copies, copy = fresh(docs, "_place", "_copies", "_copy")
     share = mix(docs, id_col, text_col, source_col, seed=seed, **how).groupBy("place").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))

@@ -9,10 +9,12 @@ from wirelens.llm.common import table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints of 4-word shingles differ in 4 bits or fewer: ``simhash.simhash_groups``."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 2,048 tokens: ``packing.pack``."""
     import public_tokenizers
 
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -20,36 +22,44 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from labelled ones: ``toxicity.toxicity``."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, with the hash of every text: ``exact.exact_groups``."""
     return exact.exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by pattern and by novelty in every document: ``secrets.digest``."""
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix of sources takes of every document: ``mixing.mix``."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document by word counts and by the attention model: ``lm.score``."""
     import public_tokenizers
 
     return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later repeats of runs of lines: ``lines.line_dedup``."""
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: ``html.extract``."""
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as TIFF and read back: ``tiff.texts_read_back``."""
     return tiff.texts_read_back(table(spark, sf_dir, "documents"))
 
 

@@ -345,7 +345,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3,
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is not predicted toxic, all columns; the verdict travels with its row, so repeated ids are no trouble."""
+    """The rows of ``docs`` whose text is not predicted toxic, all columns; the verdict travels with its row, so repeated ids are no trouble.
+
+    Null and empty texts have no toxic string and stay; rows repeated whole
+    are judged each; an empty table gives an empty result.
+    """
     machine = fitted(labelled_sample(docs, labels, id_col=id_col, text_col=text_col))
 
     def clean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
