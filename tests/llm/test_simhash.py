@@ -173,11 +173,11 @@ def kept_by_all_pairs(rows, similarity=0.8):
 
 def test_no_link_is_lost_in_families(spark):
     """Families whose members are alike to about 0.8: the rows that stay are those of all pairs compared by their shingles."""
-    rows = families(np.random.default_rng(8), 30, 20)
+    rows = families(np.random.default_rng(8), 60, 20)
     expected, n = kept_by_all_pairs(rows)
     df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(4)
     got = {r.doc_id for r in simhash.near_dedup(df).collect()}
-    assert n > 400 and len(expected) > 150
+    assert n > 700 and len(expected) > 600
     assert got == expected
 
 

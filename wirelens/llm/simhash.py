@@ -17,6 +17,8 @@ RADIUS = 4
 WIDE_RADIUS, FIRST_RADIUS = 32, 20
 #: Links that a node proposes in each strip of a comparison after the forest was checked, and times as many in each further round.
 FIRST_PROPOSALS, MORE_PROPOSALS = 64, 16
+#: Pairs whose sets of shingles go to Python at a time; a usual set has some kilobytes.
+PAIRS_AT_ONCE = 256
 #: Tiles hold a 32nd of the fingerprints each, within these bounds; so the pairs of tiles, and the copies sent of each, stay as many.
 TILES, LEAST, MOST = 32, 512, 1 << 18
 #: Pairs that a strip of a comparison holds at once.
@@ -199,7 +201,7 @@ def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def checked(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose sets of shingles are alike to ``similarity`` or more. ``sets`` has one row a node: node, set."""
+    """The edges (a, b), a written table, whose sets of shingles are alike to ``similarity`` or more. ``sets`` has one row a node: node, set."""
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -211,7 +213,13 @@ def checked(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     left = attach(edges, known.select(F.col("node").alias("a"), F.col("set").alias("x"), "n"), ["a"], edges.count()).drop("n")
     left = save(left)
     both = attach(left, known.select(F.col("node").alias("b"), F.col("set").alias("y"), "n"), ["b"], left.count())
-    return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+    conf, name = edges.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(name)
+    conf.set(name, str(PAIRS_AT_ONCE))
+    try:
+        return store(both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"))
+    finally:
+        conf.set(name, usual)
 
 
 def linked(classes: DataFrame, forest: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
@@ -227,7 +235,7 @@ def linked(classes: DataFrame, forest: DataFrame, sets: DataFrame, radius: int,
     """
     order = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = store(order(forest))
-    good = store(checked(tested, sets, similarity))
+    good = checked(tested, sets, similarity)
     found = components(good)
     nodes = store(tested.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     most = FIRST_PROPOSALS
@@ -244,7 +252,7 @@ def linked(classes: DataFrame, forest: DataFrame, sets: DataFrame, radius: int,
         apart = save(named.join(sizes, "component").join(classes.select("node", "fp", "fp2"), "node").select("node", "fp", "fp2", "component", "size"))
         made = store(near_links(apart, FIRST_RADIUS, radius, most))
         new = store(order(made).join(tested, ["a", "b"], "left_anti"))
-        more = save(checked(new, sets, similarity))
+        more = checked(new, sets, similarity)
         if not more.isEmpty():
             good = store(good.union(more))
             found = components(good)
