@@ -16,7 +16,7 @@ RADIUS = 4
 #: Of the wide fingerprint of 128 bits: at a similarity of 0.8 some 20 differing bits are expected, with a deviation of 4, half of them in the first half. Three deviations are added, so that hardly a pair of 0.8 is missed; the check decides.
 WIDE_RADIUS, FIRST_RADIUS = 32, 20
 #: Links that a node proposes in each strip of a comparison after the forest was checked, and times as many in each further round.
-FIRST_PROPOSALS, MORE_PROPOSALS = 64, 16
+FIRST_PROPOSALS, MORE_PROPOSALS = 1, 4
 #: Pairs whose sets of shingles go to Python at a time; a usual set has some kilobytes.
 PAIRS_AT_ONCE = 256
 #: Tiles hold a 32nd of the fingerprints each, within these bounds; so the pairs of tiles, and the copies sent of each, stay as many.
