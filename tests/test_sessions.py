@@ -1,10 +1,12 @@
 import random
 from datetime import datetime, timedelta
+from unittest.mock import Mock
 
+import pandas as pd
 from hypothesis import given
 from hypothesis import strategies as st
 
-from wirelens.streaming.sessions import merged, session_stream, sessions
+from wirelens.streaming.sessions import Sessions, merged, session_stream, sessions
 
 FIRST = datetime(2024, 3, 1)
 SCHEMA = "capture_id string, entry_ix int, started timestamp, content_bytes long"
@@ -75,3 +77,50 @@ def test_stream_with_late_rows_restarts_and_eviction(spark, tmp_path):
     # The one session that is still open is all the state there is.
     store = spark.read.format("statestore").option("path", f"{tmp_path}/c").option("stateVarName", "open").load()
     assert store.count() == 1
+
+
+class Handle:
+    """Counts what a processor asks of its key's state and timers; stands for both."""
+
+    def __init__(self):
+        self.timers, self.calls, self.value = set(), 0, None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_key_has_one_timer_however_many_sessions():
+    handle = Handle()
+    one = Sessions(1000)
+    one.init(handle)
+    rows = pd.DataFrame({"us": [5000 * k for k in range(200)], "content_bytes": [None, 3.0] * 100})
+    assert list(one.handleInputRows(("a",), iter([rows]), None)) == []
+    assert handle.calls <= 3 and handle.timers == {1}
+    # The watermark is in the middle of the sessions, behind the end of 100 of them: these leave at once.
+    fired, now = Mock(), Mock()
+    fired.getExpiryTimeInMs.return_value, now.getCurrentWatermarkInMs.return_value = handle.timers.pop(), 496
+    left = pd.concat(one.handleExpiredTimer(("a",), now, fired))
+    assert left["first"].tolist() == [5000 * k for k in range(100)] and left["bytes"].isna().sum() == 50
+    assert handle.calls <= 6 and handle.timers == {501}
+    now.getCurrentWatermarkInMs.return_value = 10**6
+    fired.getExpiryTimeInMs.return_value = handle.timers.pop()
+    assert len(pd.concat(one.handleExpiredTimer(("a",), now, fired))) == 100
+    assert handle.value is None and not handle.timers

@@ -14,8 +14,10 @@ from wirelens.functions.prefix import greatest_before, running_total
 
 #: Where large state is kept: outside the heap, with changes written to the checkpoint.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-#: The state of a session, and what leaves of it; instants are microseconds since 1970.
-STATE = "first long, last long, requests long, bytes long"
+#: What leaves of a session; instants are microseconds since 1970.
+SESSION = "first long, last long, requests long, bytes long"
+#: A key's open sessions, one value: Spark takes far longer over a list of rows than over arrays.
+STATE = "first array<long>, last array<long>, requests array<long>, bytes array<long>"
 
 
 def sessions(entries: DataFrame, key: str = "capture_id", gap: str = "30 minutes") -> DataFrame:
@@ -47,42 +49,55 @@ def merged(open_: list[tuple[int, int, int, int | None]], gap: int) -> list[tupl
 
 
 class Sessions(StatefulProcessor):
-    """Holds a key's open sessions; one leaves once the watermark has passed its last entry by the gap, so that no entry still to come can reach it."""
+    """Holds a key's open sessions; one leaves once the watermark has passed its last entry by the gap, so that no entry still to come can reach it.
+
+    A key has one timer, that of its first session to be over; when it fires,
+    all that are over leave together, so that a key's state is read and
+    written once a batch, not once a session.
+    """
 
     def __init__(self, gap: int) -> None:
         self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", STATE)
+        self.open = handle.getValueState("open", STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        held = [tuple(s) for s in self.open.get()]
-        before = {self._due(s) for s in held}
+        held = self._held()
+        before = min(map(self._due, held), default=None)
         for part in rows:
             # A batch becomes sessions first, so that what is held has a row a session, not a row an entry.
             made = [(int(t), int(t), 1, None if pd.isna(b) else int(b)) for t, b in zip(part["us"], part["content_bytes"], strict=True)]
             held = merged(held + merged(made, self.gap), self.gap)
-        now = {self._due(s) for s in held}
-        for due in before - now:
-            self.handle.deleteTimer(due)
-        for due in now - before:
-            self.handle.registerTimer(due)
-        self.open.put(held)
+        now = min(map(self._due, held))
+        if before != now:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(now)
+        self._hold(held)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        held = [tuple(s) for s in self.open.get()]
+        at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = self._held()
         over = [s for s in held if self._due(s) <= at]
         rest = [s for s in held if self._due(s) > at]
         if rest:
-            self.open.put(rest)
+            self._hold(rest)
+            self.handle.registerTimer(min(map(self._due, rest)))
         else:
             self.open.clear()
         if over:
             yield pd.DataFrame({"key": [key[0]] * len(over), **{n: [s[i] for s in over] for i, n in enumerate(("first", "last", "requests"))}, "bytes": pd.array([s[3] for s in over], dtype="Int64")})
 
+    def _held(self) -> list[tuple[int, int, int, int | None]]:
+        found = self.open.get()
+        return list(zip(*found, strict=True)) if found else []
+
+    def _hold(self, open_: list[tuple[int, int, int, int | None]]) -> None:
+        self.open.update(tuple(map(list, zip(*open_, strict=True))))
+
     def _due(self, session: tuple) -> int:
         """The millisecond from which on a session is over."""
         return -(-(session[1] + self.gap) // 1000)
@@ -95,7 +110,7 @@ def session_stream(entries: DataFrame, key: str = "capture_id", gap: str = "30 m
     """``sessions`` of a stream of entries, each once, when it is over: key, first, last, requests, bytes.
 
     Entries may come ``late`` by so much, and then join, widen or unite open
-    sessions; later ones are left out. State has a row an open session. The
+    sessions; later ones are left out. State has a row a key with open sessions. The
     last sessions stay open until later entries, of any key, move the
     watermark on. Sets the session's state store to RocksDB, which this needs.
     """
@@ -104,6 +119,6 @@ def session_stream(entries: DataFrame, key: str = "capture_id", gap: str = "30 m
     micros = int(spark.sql(f"SELECT INTERVAL {gap} div INTERVAL '0.000001' SECOND").first()[0])
     rows = entries.where("started is not null").withWatermark("started", late)
     rows = rows.select(F.col(key).cast("string").alias("key"), "started", F.unix_micros("started").alias("us"), F.col("content_bytes").cast("long").alias("content_bytes"))
-    schema = T.StructType([T.StructField("key", T.StringType()), *T.StructType.fromDDL(STATE).fields])
+    schema = T.StructType([T.StructField("key", T.StringType()), *T.StructType.fromDDL(SESSION).fields])
     found = rows.groupBy("key").transformWithStateInPandas(Sessions(micros), schema, "append", "eventTime")
     return found.select(F.col("key").alias(key), F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"), "requests", "bytes")
