@@ -296,3 +296,26 @@ def test_a_stream_takes_each_capture_once(spark, tmp_path):
     take_all(spark, folder, where)
     got = taken().select(*load(spark, folder).columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, load(spark, folder).collect()))
+
+
+def test_small_captures_share_a_task(spark, tmp_path, monkeypatch):
+    for k in range(30):
+        (tmp_path / f"{k:02d}.har").write_text(ENCODINGS[0](capture(k % 4 + 1)), encoding="utf-8")
+    reader = har.HarReader({"path": str(tmp_path), "capture_id": "c"})
+    (one,) = reader.partitions()
+    whole = list(reader.read(one))
+    assert [r[0] for r in whole if r[1] == "capture"] == [f"c-{k:06d}" for k in range(30)]
+    assert load(spark, tmp_path).rdd.getNumPartitions() == 1
+    most = (tmp_path / "03.har").stat().st_size  # the largest has a task of its own
+    monkeypatch.setattr(har, "TOGETHER", most)
+    parts = reader.partitions()
+    assert 8 <= len(parts) < 30 and all(sum((tmp_path / uri[-6:]).stat().st_size for uri, _ in p.captures) <= most for p in parts)
+    assert [r for p in parts for r in reader.read(p)] == whole
+
+
+def test_queries_parse_each_capture_once(spark):
+    from wirelens.plans import queries
+
+    for part in queries._parsed(spark, "/root/testdata/sf0.001", False):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "parquet" in plan.lower() and "BatchScan" not in plan and "har" not in re.findall(r"Scan (\w+)", plan)

@@ -362,9 +362,12 @@ def d12_environment_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str, cut: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Captures, entries and pages of the stand-in captures, each of which is read and parsed once: all three are made of the source's rows, written as a table."""
     folder = _shared(spark)
-    standins.write_captures(spark, sf_dir, folder, cut)
-    return ops.normalise(lambda: configure(spark).read.format("har").option("capture_id", "c").option("pushdown", "true").load(folder))
+    standins.write_captures(spark, sf_dir, f"{folder}/captures", cut)
+    rows = configure(spark).read.format("har").option("capture_id", "c").load(f"{folder}/captures")
+    rows.write.parquet(f"{folder}/rows")
+    return ops.normalise(spark.read.schema(rows.schema).parquet(f"{folder}/rows"))
 
 
 PARSED_SQL = """
