@@ -149,3 +149,22 @@ def test_words_are_split_alike():
     texts = ["".join(rng.choice(list("aB é\x1c\x85\xa0\u2003\n\t\x0b\r"), 30)) for _ in range(300)] + ["", " ", None, " A b "]
     sizes, found = split_words(pa.array(texts))
     assert [w.encode() for w in found.to_pylist()] == [w for t in texts for w in words(t)] and sizes.tolist() == [len(words(t)) for t in texts]
+
+
+def test_training_predicts_every_subword_of_every_text_once(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["word", "Another", "long-winded", "x"], n)) for n in (1, 40, 63, 64, 65, 700, 3000)] + ["", None]
+    v = attention.Vocabulary(np.arange(50_257).astype(np.int32), np.ones(50_258), 1)
+    got = lm.training_stretches(spark.createDataFrame([(t,) for t in texts], "text string"), spark.sparkContext.broadcast(v), *PATHS).collect()
+    spell = lambda t: [*lm.word_ids(words(t), *PATHS)[0].tolist(), 50_256]
+    wanted = [spell(t) for t in texts]
+    windows = lm._windows([r.window for r in got])
+    assert windows.shape[1] == 3 * attention.BLOCK + 1
+    targets = windows[:, attention.BLOCK + 1 :]
+    assert Counter(targets[targets != v.none].tolist()) == Counter(i for t in wanted for i in t)
+    # Each window stands in a text as it is cut: its context, up to the text's opening, is what comes before its targets.
+    padded = Counter()
+    for t in wanted:
+        x = [v.none] * attention.BLOCK + [v.open, *t] + [v.none] * 64
+        padded.update(tuple(x[a : a + 97]) for a in range(0, len(t), 64))
+    assert Counter(map(tuple, windows.tolist())) == padded

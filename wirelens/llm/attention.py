@@ -11,7 +11,7 @@ BLOCK = 32
 #: Sizes of keys, states and the hidden layer; number of classes of the output layer.
 KEYS, WIDTH, HIDDEN, CLASSES = 8, 32, 16, 24
 #: Windows a training step takes, and the step's first rate.
-BATCH, RATE = 16, 0.1
+BATCH, RATE = 64, 0.1
 #: Positions that attention takes together, few, so that they stay in a core's cache; and that the output layer takes together.
 ATTEND, AT_ONCE = 4096, 32768
 PARAMETERS = ("e", "wk", "wv", "wq", "near", "w1", "b1", "w2", "c", "cb", "o", "ob")

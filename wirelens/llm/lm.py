@@ -19,10 +19,10 @@ from wirelens.llm.attention import BLOCK, Model, Vocabulary, mean, weighed
 from wirelens.llm.common import batches, by_bytes, least_count, remainder_col, save, split_words
 from wirelens.llm.packing import encode, encoders
 
-#: Characters between the windows that a training text gives; a window predicts 64 subwords.
-SPACING = 3584
+#: Windows, of 64 predicted subwords each, that a stretch of a training text holds at most.
+STRETCH = 16
 #: Windows that one task trains on between two averages of the models.
-WINDOWS = 4096
+WINDOWS = 16_384
 #: Models that one task adds up.
 FAN_IN = 16
 #: Up to so many of the most frequent words have their counts broadcast; the counts of all others are joined.
@@ -154,8 +154,8 @@ def head_counts(counts: DataFrame, most: int = HEAD) -> tuple[int, np.ndarray, n
     return least, found.column("h").to_numpy(), found.column("n").to_numpy()
 
 
-def training_windows(texts: DataFrame, shared_vocabulary, json_path: str, ranks_path: str | None, spacing: int = SPACING) -> DataFrame:
-    """(u, window): windows of every training text, ``spacing`` characters apart from an offset by the text's hash; u shuffles them.
+def training_windows(texts: DataFrame, shared_vocabulary, json_path: str, ranks_path: str | None, spacing: int) -> DataFrame:
+    """(u, window): a sample of windows of every training text, ``spacing`` characters apart from an offset by the text's hash, for quick trials; u shuffles them. ``score`` learns from ``training_stretches``, which leave out nothing.
 
     A window that begins near a text's start begins at its start; one that
     reaches the text's end predicts the end. Long texts give as many more. A
@@ -209,19 +209,62 @@ def training_windows(texts: DataFrame, shared_vocabulary, json_path: str, ranks_
     return texts.select("text").mapInArrow(run, "u long, window binary")
 
 
+def training_stretches(texts: DataFrame, shared_vocabulary, json_path: str, ranks_path: str | None) -> DataFrame:
+    """(u, window): every training text whole, in stretches in which each of its subwords, and its end, is predicted once; u shuffles them.
+
+    A stretch holds 32 rows of context, the row before the first that is
+    predicted, and then up to ``STRETCH`` times 64 rows that are, each 64 of
+    which are a window (see ``_windows``). A text's first stretch opens it; its
+    last is filled up with rows that stand for nothing.
+    """
+    schema = pa.schema([("u", pa.int64()), ("window", pa.binary())])
+    step, lead = 2 * BLOCK, BLOCK + 1
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared_vocabulary.value
+        speller = Speller(json_path, ranks_path)
+
+        def made() -> Iterator[tuple]:
+            for part in (x for part in parts for x in by_bytes(part, "text", TOGETHER)):
+                if len(speller.number) > MOST_KEPT:
+                    speller.clear()
+                sizes, found = split_words(part.column("text"))
+                numbers, ends = speller.numbers(found), np.cumsum(sizes)
+                speller.learn()
+                for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
+                    own = v.row[speller.spelt(numbers[end - size : end])]
+                    rows = np.full(lead + -(-(len(own) + 1) // step) * step, v.none, "<u4")
+                    rows[BLOCK], rows[lead : lead + len(own)], rows[lead + len(own)] = v.open, own, v.row[-1]
+                    for at in range(0, len(rows) - lead, STRETCH * step):
+                        data = rows[at : at + lead + STRETCH * step].tobytes()
+                        yield xxhash.xxh64_intdigest(data, at) >> 2, data
+
+        yield from batches(made(), schema, weight=1)
+
+    return texts.select("text").mapInArrow(run, "u long, window binary")
+
+
+def _windows(stretches: list[bytes]) -> np.ndarray:
+    """The windows of stretches, one a row: a block of context, the row before, two blocks that are predicted."""
+    step, width = 2 * BLOCK, 3 * BLOCK + 1
+    rows = [np.frombuffer(x, "<u4") for x in stretches]
+    return np.concatenate([np.lib.stride_tricks.sliding_window_view(x, width)[::step] for x in rows]).astype(np.int64)
+
+
 def _pickled(rows: Iterator[object]) -> Iterator[pa.RecordBatch]:
     return batches(((pickle.dumps(x),) for x in rows), pa.schema([("state", pa.binary())]), weight=0)
 
 
-def trained(windows: DataFrame, model: Model, per_task: int = WINDOWS) -> Model:
-    """Train on all windows, in rounds: each has twice the tasks of the one before it, and each task trains a copy of the model on windows of its own.
+def trained(stretches: DataFrame, model: Model, per_task: int = WINDOWS) -> Model:
+    """Train on all windows of all stretches, in rounds: each has twice the tasks of the one before it, and each task trains a copy of the model on windows of its own.
 
     After a round the copies are averaged by a tree of sums, so no task holds
     more than a few copies and the driver gets one. Rounds grow with the
     logarithm of the number of windows.
     """
-    sc = windows.sparkSession.sparkContext
-    total, done, tasks = windows.count(), 0, 1
+    sc = stretches.sparkSession.sparkContext
+    of_one = F.floor((F.length("window") / 4 - BLOCK - 1) / (2 * BLOCK))
+    total, done, tasks = stretches.agg(F.coalesce(F.sum(of_one), F.lit(0)).cast("long")).first()[0], 0, 1
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
@@ -241,11 +284,13 @@ def trained(windows: DataFrame, model: Model, per_task: int = WINDOWS) -> Model:
             mine = pickle.loads(pickle.dumps(shared.value))
             found = sorted((u, data) for part in parts for u, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
             if found:
-                rows = np.frombuffer(b"".join(data for _, data in found), "<u4").reshape(len(found), -1).astype(np.int64)
+                rows = _windows([data for _, data in found])
+                # Neighbours in a text come apart; the order is that of the first stretch's hash, so reruns agree.
+                np.random.default_rng(found[0][0]).shuffle(rows)
                 yield from _pickled(iter([weighed(mine, mine.train(rows, begun, share))]))
 
         low, high = (int(x / total * (1 << 62)) for x in (done, done + own))
-        states = windows.where((F.col("u") >= low) & (F.col("u") < max(high, low + 1))).repartition(tasks).mapInArrow(train, "state binary")
+        states = stretches.where((F.col("u") >= low) & (F.col("u") < max(high, low + 1))).repartition(tasks).mapInArrow(train, "state binary")
         n = tasks
         while n > 1:
             n = -(-n // FAN_IN)
@@ -267,8 +312,8 @@ def score(docs: DataFrame, json_path: str, ranks_path: str | None = None, vocabu
     their different tokens. ``score`` is the log10 probability of the text by
     attention over its subwords, each word behind a space, and its end; blocks
     overlap with those before them and every subword is scored once.
-    Subwords are counted, and windows for training are cut, in all training
-    texts. Repeated rows each give a row, and rows with a null id are training
+    Subwords are counted in all training texts, and attention is trained to
+    predict every subword and end of theirs once. Repeated rows each give a row, and rows with a null id are training
     or held out by the crc of the empty text. An empty table gives an empty
     result; other columns are ignored.
     """
@@ -288,7 +333,7 @@ def score(docs: DataFrame, json_path: str, ranks_path: str | None = None, vocabu
     v = Vocabulary.of(by_id)
     sc = rows.sparkSession.sparkContext
     shared_v = sc.broadcast(v)
-    model = trained(save(training_windows(texts, shared_v, json_path, ranks_path)), Model(v))
+    model = trained(save(training_stretches(texts, shared_v, json_path, ranks_path)), Model(v))
     judged = save(_judged(rows, sc.broadcast((model, head, np.log10(head_n + 1.0))), json_path, ranks_path))
     rest = judged.where(F.size("rare") > 0).select("rid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("rid", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     known = counts.where((F.col("kind") == WORD) & (F.col("n") < least)).select("h", "n")
