@@ -199,3 +199,32 @@ def test_proposals_are_all_links_into_other_components():
         for one, other, _ in got:
             assert all((size[a - 500], comp[a - 500]) < (size[b - 500], comp[b - 500]) for a, b in zip(one, other, strict=True))
             assert not len(one) or np.unique(one, return_counts=True)[1].max() <= most
+
+
+def test_sketches_rule_out_no_pair_that_is_alike_and_most_others():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 7, 60, 400, 6000):
+        sets = [np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))]
+        for share in (0.02, 0.1, 0.11, 0.112, 0.2, 0.4):
+            old = sets[0][rng.random(size) > share]
+            sets += [old, np.unique(np.concatenate([old, rng.integers(0, 1 << 63, size - len(old)).astype(np.uint64)]))]
+        tile = [np.array([len(x) for x in sets]), *np.stack([simhash.sketch(x) for x in sets], 1)]
+        i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+        near = np.array([simhash.alike(sets[p], sets[q]) for p, q in zip(i, j, strict=True)])
+        may = simhash.may_be_alike(tile, i, tile, j, 0.8)
+        assert may[near >= 0.8].all()
+        if 60 <= size <= 400:
+            assert not may[near < 0.6].any()
+
+
+def test_proposals_leave_out_what_sketches_rule_out():
+    """A group of texts whose fingerprints are equal in all but few bits, and whose sets have little in common: no pair of them is proposed."""
+    rng = np.random.default_rng(6)
+    n = 60
+    sets = [np.unique(rng.integers(0, 1 << 63, 50).astype(np.uint64)) for _ in range(n - 1)]
+    sets.append(sets[0])
+    shape = [np.array([len(x) for x in sets]), *np.stack([simhash.sketch(x) for x in sets], 1)]
+    tile = [np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.arange(n), np.arange(n), np.ones(n, np.int64)]
+    assert len(simhash.proposals(tile, None, 20, 32, n)[0]) == n * (n - 1) // 2
+    one, other, more = simhash.proposals([*tile, *shape], None, 20, 32, n, 0.8)
+    assert {one[0], other[0]} == {0, n - 1} and len(one) == 1 and not more.any()

@@ -19,6 +19,9 @@ WIDE_RADIUS, FIRST_RADIUS = 32, 20
 FIRST_PROPOSALS, MORE_PROPOSALS = 1, 4
 #: Pairs whose sets of shingles go to Python at a time; a usual set has some kilobytes.
 PAIRS_AT_ONCE = 256
+#: Buckets that a set's hashes are counted in, up to 15 each, for a bound on its likeness to others; pairs that are bounded at once.
+BUCKETS, BOUNDED = 128, 1 << 16
+SKETCH = [f"k{i}" for i in range(BUCKETS // 16)]
 #: Tiles hold a 32nd of the fingerprints each, within these bounds; so the pairs of tiles, and the copies sent of each, stay as many.
 TILES, LEAST, MOST = 32, 512, 1 << 18
 #: Pairs that a strip of a comparison holds at once.
@@ -111,10 +114,36 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, step: int |
     return np.concatenate([none, *left]).astype(np.int64), np.concatenate([none, *right]).astype(np.int64)
 
 
-def proposals(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int, whole: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A set's hashes counted by buckets, up to 15, as eight numbers of 64 bits."""
+    counts = np.minimum(np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 15).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).view(np.int64)
+
+
+def may_be_alike(a: list[np.ndarray], i: np.ndarray, b: list[np.ndarray], j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets may be alike to ``similarity``, by their sizes and sketches (a[i] and b[j]: a size, then the sketch); none that are is ruled out.
+
+    Sets alike to s share s / (1 + s) of the sum of their sizes or more, so
+    that (1 - s) / (1 + s) of it at most is in one of them alone. Counts by
+    buckets, cut off or not, differ by no more in all than what is in one
+    alone.
+    """
+    nibbles = lambda t: (lambda x: np.concatenate([x & 15, x >> 4], 1).astype(np.int8))(np.ascontiguousarray(np.stack(t[1:], 1)).view(np.uint8))
+    x, y, out = nibbles(a), nibbles(b), np.zeros(len(i), bool)
+    for s in range(0, len(i), BOUNDED):
+        p, q = i[s : s + BOUNDED], j[s : s + BOUNDED]
+        n, m = a[0][p].astype(np.int64), b[0][q].astype(np.int64)
+        alone = np.maximum(np.abs(x[p] - y[q]).sum(1, dtype=np.int64), np.abs(n - m))
+        out[s : s + BOUNDED] = alone <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
+    return out
+
+
+def proposals(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int, whole: int, most: int, similarity: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links between tiles a and b, or within a, whose ends are in different components: the node that proposes, the other, and whether the first has more.
 
-    A tile is fp, fp2, node, component and the component's size. Of two
+    A tile is fp, fp2, node, component and the component's size; with
+    ``similarity`` also the size and the sketch of the text's set of shingles,
+    and pairs that these rule out are no links. Of two
     components the smaller one's node proposes, so that a large one's many
     nodes do not; each proposes its ``most`` nearest links in a strip.
     """
@@ -129,6 +158,9 @@ def proposals(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int, whol
         bits = np.bitwise_count(a[0][i] ^ b[0][j]).astype(np.int64) + np.bitwise_count(a[1][i] ^ b[1][j])
         fit = (bits <= whole) & (a[3][i] != b[3][j]) & ((j > i) | (not own))
         i, j, bits = i[fit], j[fit], bits[fit]
+        if similarity is not None:
+            fit = may_be_alike(a[5:], i, b[5:], j, similarity)
+            i, j, bits = i[fit], j[fit], bits[fit]
         swap = (a[4][i] > b[4][j]) | (a[4][i] == b[4][j]) & (a[3][i] > b[3][j])
         one, other = np.where(swap, b[2][j], a[2][i]), np.where(swap, a[2][i], b[2][j])
         order = np.lexsort((other, bits, one))
@@ -141,16 +173,17 @@ def proposals(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int, whol
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, whole: int | None = None, most: int | None = None) -> DataFrame:
+def near_links(classes: DataFrame, radius: int = RADIUS, whole: int | None = None, most: int | None = None, similarity: float | None = None) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all links (see ``links``; ``whole`` is given with second halves).
 
     ``classes`` has distinct fingerprints: node, fp, fp2. Fingerprints of
     equal population count in fp form tiles of bounded size. Tiles are compared
     whole if their counts differ by ``radius`` at most; beyond it no pair can
-    link. With ``most``, classes also have component and size, and the edges
-    (a, b, more) are ``proposals``.
+    link. With ``most``, classes also have component and size, with
+    ``similarity`` the size and sketch of a set (many, ``SKETCH``), and the
+    edges (a, b, more) are ``proposals``.
     """
-    held = ["fp", "fp2", "node"] + (["component", "size"] if most else [])
+    held = ["fp", "fp2", "node"] + (["component", "size"] if most else []) + (["many", *SKETCH] if similarity is not None else [])
     fps = classes.select(F.struct(*held).alias("fp"), F.bit_count("fp").alias("pop"))
     per = {r["pop"]: r["n"] for r in fps.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     if not per:
@@ -169,7 +202,7 @@ def near_links(classes: DataFrame, radius: int = RADIUS, whole: int | None = Non
         tiles = sorted(([np.asarray(x.values).view(np.uint64) for x in row] for row in zip(*(pair.column(c) for c in held), strict=True)), key=lambda t: len(t[0]))
         if most:
             tiles = [[x.view(np.int64) if k > 1 else x for k, x in enumerate(t)] for t in tiles]
-            return pa.table(list(proposals(tiles[0], tiles[1] if len(tiles) > 1 else None, radius, whole, most)), schema=schema.append(pa.field("more", pa.bool_())))
+            return pa.table(list(proposals(tiles[0], tiles[1] if len(tiles) > 1 else None, radius, whole, most, similarity)), schema=schema.append(pa.field("more", pa.bool_())))
         (a, a2, own), (b, b2, other) = tiles[0], tiles[1] if len(tiles) > 1 else (None, None, None)
         i, j = links(a, b, radius) if whole is None else links(a, b, radius, a2=a2, b2=b2, whole=whole)
         return pa.table([own[i].view(np.int64), (own if other is None else other)[j].view(np.int64)], schema=schema)
@@ -191,13 +224,14 @@ def alike(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
-    """node, set (bytes of sorted hashes) of each node's text."""
-    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+    """node, set (bytes of sorted hashes), its size (many) and ``sketch`` of each node's text."""
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary()), ("many", pa.int64()), *((c, pa.int64()) for c in SKETCH)])
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches(((i, shingle_set(t.as_py(), shingle).tobytes()) for part in parts for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)), schema, weight=1)
+        sets = ((i, shingle_set(t.as_py(), shingle)) for part in parts for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True))
+        yield from batches(((i, x.tobytes(), len(x), *sketch(x).tolist()) for i, x in sets), schema, weight=1)
 
-    return texts.select("node", "text").mapInArrow(hashed, "node long, set binary")
+    return texts.select("node", "text").mapInArrow(hashed, ", ".join(["node long, set binary, many long", *(f"{c} long" for c in SKETCH)]))
 
 
 def checked(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -209,7 +243,7 @@ def checked(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     used = save(edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")))
-    known = save(sets.join(used, "node"))
+    known = save(sets.select("node", "set").join(used, "node"))
     left = attach(edges, known.select(F.col("node").alias("a"), F.col("set").alias("x"), "n"), ["a"], edges.count()).drop("n")
     left = save(left)
     both = attach(left, known.select(F.col("node").alias("b"), F.col("set").alias("y"), "n"), ["b"], left.count())
@@ -229,7 +263,8 @@ def linked(classes: DataFrame, forest: DataFrame, sets: DataFrame, radius: int,
     one, other links may still join its ends. A component that is cut off has
     a refused link that leaves it; so in each round the nodes of such
     components propose their nearest links into others of them that were not
-    checked yet, until none has any left. Components without one are whole and
+    checked yet, until none has any left; links that the sizes and sketches of
+    the sets rule out are not among them. Components without one are whole and
     never looked at again, so a large group of near copies costs a check a
     member; a pair that is never checked lies within one component.
     """
@@ -249,8 +284,9 @@ def linked(classes: DataFrame, forest: DataFrame, sets: DataFrame, radius: int,
         if sizes.isEmpty():
             return found
         # Narrow rows, of which only those of cut components are left; a large component is split by the join itself.
-        apart = save(named.join(sizes, "component").join(classes.select("node", "fp", "fp2"), "node").select("node", "fp", "fp2", "component", "size"))
-        made = store(near_links(apart, FIRST_RADIUS, radius, most))
+        shape = sets.select("node", "many", *SKETCH)
+        apart = save(named.join(sizes, "component").join(classes.select("node", "fp", "fp2"), "node").join(shape, "node").select("node", "fp", "fp2", "component", "size", "many", *SKETCH))
+        made = store(near_links(apart, FIRST_RADIUS, radius, most, similarity))
         new = store(order(made).join(tested, ["a", "b"], "left_anti"))
         more = checked(new, sets, similarity)
         if not more.isEmpty():
