@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wirelens.llm import exact, mixing, packing, simhash, toxicity
-from wirelens.llm.common import shared_folder, table
+from wirelens.llm.common import bounded_batches, shared_folder, table
 
 #: SQL can't express the learned and the iterative stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -16,6 +16,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic. Null and empty texts have no toxic string and stay; ids play no part."""
+    bounded_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,6 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: five-word shingles, alike to 0.8 or more (see ``near_dedup``). Texts without words are one group."""
+    bounded_batches(spark)
     return simhash.near_dedup(docs)
 
 
@@ -36,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their token ids and places in sequences; a null text is the end alone."""
+    bounded_batches(spark)
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
     return packing.pack(pieces)
 

@@ -3,14 +3,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.fixtures import documents, empty, odd_rows
 from tests.llm.test_simhash import brute_kept, wide_link
 from wirelens.llm import toxicity
-from wirelens.llm.common import table
+from wirelens.llm.common import BATCH_BYTES, table
 
 SF = "/root/testdata/sf0.001"
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -75,3 +77,18 @@ def test_stages_take_odd_rows(spark, make):
 
 def test_run_gives_the_same_rows(spark):
     assert corpus_pipeline.run(spark, SF).count() == corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["toxicity", "simhash_near_dedup", "packing"])
+def test_stages_send_batches_of_bounded_bytes(spark, name):
+    """A batch was 10,000 rows, whatever they held: 60 MB here."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    dict(corpus_pipeline.STAGES)[name](spark, table(spark, SF, "documents"), SF)
+
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_pydict({"rows": [part.num_rows], "bytes": [part.nbytes]})
+
+    found = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 4000).alias("text")).mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in found) == 3000
+    assert max(r.bytes for r in found) <= 2 * BATCH_BYTES

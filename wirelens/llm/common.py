@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Up to so many row keys (8 bytes each) are broadcast.
 MOST_KEYS = 1 << 19
+#: Bytes of an Arrow batch that goes from a task's JVM to its Python.
+BATCH_BYTES = 4 << 20
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,6 +37,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on, Arrow batches that this session sends to Python are bounded by bytes.
+
+    Spark bounds them by rows alone, 10,000 of them, however long their texts;
+    buffers outside the heap double up to that and stay with the executor, and
+    Python holds a batch beside what it makes of it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like those given that ``df`` doesn't have."""
     taken, out = {c.lower() for c in df.columns}, []
