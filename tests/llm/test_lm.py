@@ -168,3 +168,15 @@ def test_training_predicts_every_subword_of_every_text_once(spark):
         x = [v.none] * attention.BLOCK + [v.open, *t] + [v.none] * 64
         padded.update(tuple(x[a : a + 97]) for a in range(0, len(t), 64))
     assert Counter(map(tuple, windows.tolist())) == padded
+
+
+def test_stretches_take_two_bytes_a_subword_unless_rows_are_too_many(spark):
+    """They took four whatever the vocabulary, in the stored stretches and in every round's shuffle."""
+    text = "word " * 8 * lm.STRETCH * 2 * attention.BLOCK
+    for n, width in ((50_258, 2), (1 << 16, 4)):
+        v = attention.Vocabulary(np.arange(50_257).astype(np.int32), np.ones(n), 1)
+        got = lm.training_stretches(spark.createDataFrame([(text,)], "text string"), spark.sparkContext.broadcast(v), *PATHS).collect()
+        many = len(lm.word_ids(words(text), *PATHS)[0]) + 1
+        windows = lm._windows([r.window for r in got], v.stored)
+        assert (windows[:, attention.BLOCK + 1 :] != v.none).sum() == many
+        assert sum(len(r.window) for r in got) < 1.1 * width * many

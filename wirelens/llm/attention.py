@@ -58,6 +58,11 @@ class Vocabulary:
     def none(self) -> int:
         return len(self.counts) + 1
 
+    @property
+    def stored(self) -> np.dtype:
+        """What rows are stored as: two bytes each, unless there are too many of them."""
+        return np.dtype("<u2" if self.none < 1 << 16 else "<u4")
+
 
 class Model:
     """Embedded rows; one attention layer with keys, values and queries of them and a bias by distance; a residual layer; classes, and rows within a class."""

@@ -233,7 +233,7 @@ def training_stretches(texts: DataFrame, shared_vocabulary, json_path: str, rank
                 speller.learn()
                 for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
                     own = v.row[speller.spelt(numbers[end - size : end])]
-                    rows = np.full(lead + -(-(len(own) + 1) // step) * step, v.none, "<u4")
+                    rows = np.full(lead + -(-(len(own) + 1) // step) * step, v.none, v.stored)
                     rows[BLOCK], rows[lead : lead + len(own)], rows[lead + len(own)] = v.open, own, v.row[-1]
                     for at in range(0, len(rows) - lead, STRETCH * step):
                         data = rows[at : at + lead + STRETCH * step].tobytes()
@@ -244,10 +244,10 @@ def training_stretches(texts: DataFrame, shared_vocabulary, json_path: str, rank
     return texts.select("text").mapInArrow(run, "u long, window binary")
 
 
-def _windows(stretches: list[bytes]) -> np.ndarray:
+def _windows(stretches: list[bytes], stored: np.dtype | str = "<u2") -> np.ndarray:
     """The windows of stretches, one a row: a block of context, the row before, two blocks that are predicted."""
     step, width = 2 * BLOCK, 3 * BLOCK + 1
-    rows = [np.frombuffer(x, "<u4") for x in stretches]
+    rows = [np.frombuffer(x, stored) for x in stretches]
     return np.concatenate([np.lib.stride_tricks.sliding_window_view(x, width)[::step] for x in rows]).astype(np.int64)
 
 
@@ -262,8 +262,8 @@ def trained(stretches: DataFrame, model: Model, per_task: int = WINDOWS) -> Mode
     more than a few copies and the driver gets one. Rounds grow with the
     logarithm of the number of windows.
     """
-    sc = stretches.sparkSession.sparkContext
-    of_one = F.floor((F.length("window") / 4 - BLOCK - 1) / (2 * BLOCK))
+    sc, stored = stretches.sparkSession.sparkContext, model.vocabulary.stored
+    of_one = F.floor((F.length("window") / stored.itemsize - BLOCK - 1) / (2 * BLOCK))
     total, done, tasks = stretches.agg(F.coalesce(F.sum(of_one), F.lit(0)).cast("long")).first()[0], 0, 1
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +284,7 @@ def trained(stretches: DataFrame, model: Model, per_task: int = WINDOWS) -> Mode
             mine = pickle.loads(pickle.dumps(shared.value))
             found = sorted((u, data) for part in parts for u, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
             if found:
-                rows = _windows([data for _, data in found])
+                rows = _windows([data for _, data in found], stored)
                 # Neighbours in a text come apart; the order is that of the first stretch's hash, so reruns agree.
                 np.random.default_rng(found[0][0]).shuffle(rows)
                 yield from _pickled(iter([weighed(mine, mine.train(rows, begun, share))]))
